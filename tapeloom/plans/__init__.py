@@ -1 +1 @@
-
+"""Compilers: the ``where`` language and JSON run specs."""
