@@ -455,7 +455,7 @@ def _moved(spark: SparkSession, sf_dir: str, start: str, step_micros: int) -> Da
 @query()
 def pre_open_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tape squeezed into the pre-open minutes: call auction in the fold."""
-    return replay.replay_fills(_moved(spark, sf_dir, "09:00:00", 3), detail=True)
+    return replay.replay_fills(_moved(spark, sf_dir, "09:00:00", 60_000), detail=True)
 
 
 @query()
