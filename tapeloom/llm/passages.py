@@ -16,7 +16,7 @@ spans follow from a stack over those places alone.
 3. Verification, per key: a run is a near duplicate of an earlier document's (or place's)
    if the two runs aligned at their common smallest hash have a Jaccard
    similarity of ``similarity`` or more, counting shingles equal at one offset.  Members are compared
-   with leaders; one that matches no leader leads itself.  No group is capped and no pairs are listed.
+   with leaders, the earliest first; one that is not settled leads in its turn.  No group is capped and no pairs are listed.
 
 Links go from a document to the leader it repeats; ``class_id`` is the smallest
 document reachable over them.
@@ -42,6 +42,8 @@ from tapeloom.llm.util import ranges, raw_texts, shuffle_partitions, slices, sta
 
 SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 46, 4, 2, 0.8
 REDUCE_BYTES = 24 << 20
+#: Windows verified at once.
+VERIFY_ROWS = 16_384
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NO_ID = -(2**63)
@@ -174,38 +176,72 @@ def joined_intervals(start: np.ndarray, n: np.ndarray, function: np.ndarray, has
     return good[start + n] > good[start]
 
 
-def verify_group(rec: np.ndarray, texts: list[np.ndarray], passage: int, similarity: float) -> Iterator[tuple[int, int, int, int]]:
-    """(member, first run, runs, leader) of near duplicates among windows of one key, in order of place.
+def _recurring(grid: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Cells whose shingle another member of the group has at the same offset."""
+    width = grid.shape[1]
+    mark = mixed(grid + (group.astype(_U) * _U(1024))[:, None] * _U(0x9E3779B97F4A7C15) + np.arange(width, dtype=_U)[None, :]).ravel()
+    order = np.argsort(mark)
+    same = mark[order[1:]] == mark[order[:-1]]
+    out = np.zeros(mark.size, bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out.reshape(grid.shape) & (grid != 0)
 
-    Shingles stand at offsets from the smallest hash; a run of ``passage`` with x shingles equal at one offset has similarity x / (2 passage - x).
+
+def _run_sums(cells: np.ndarray, passage: int) -> np.ndarray:
+    total = np.zeros((len(cells), cells.shape[1] + 1), np.int16)
+    np.cumsum(cells, axis=1, out=total[:, 1:])
+    return total[:, passage:] - total[:, :-passage]
+
+
+def verify_groups(rec: np.ndarray, grid: np.ndarray, passage: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """(member, first run, runs, leader) of near duplicates among windows that come sorted by key, then place.
+
+    ``grid`` has the shingles by offset from the smallest hash, 0 where there are none.  A run of ``passage``
+    with x shingles equal at one offset has similarity x / (2 passage - x).  All groups go on at once: in each
+    round the first member left in a group leads and is compared with the others.  Runs that find a leader are settled; so
+    are runs with too few shingles that recur in their group, for they can match nobody.
     """
-    width = 2 * passage - 1
-    grid = np.zeros((len(rec), width), _U)
-    for i, t in enumerate(texts):
-        at = passage - 1 - int(rec["back"][i])
-        grid[i, at : at + len(t)] = t
-    first = passage - 1 - rec["back"].astype(np.int64)  # run starts [first, first + n) as grid columns
-    n = rec["n"].astype(np.int64)
     need = int(np.ceil(2 * passage * similarity / (1 + similarity) - 1e-9))
+    first = passage - 1 - rec["back"].astype(np.int64)  # runs are grid columns [first, first + n)
+    n = rec["n"].astype(np.int64)
     column = np.arange(passage)
+    group = np.cumsum(np.concatenate(([True], rec["key"][1:] != rec["key"][:-1]))) - 1
+    owns = (column >= first[:, None]) & (column < (first + n)[:, None])
+    todo = owns.copy()
     left = np.arange(len(rec))
-    while len(left) > 1:
-        lead, left = left[0], left[1:]
-        equal = (grid[left] == grid[lead]) & (grid[left] != 0)
-        total = np.concatenate((np.zeros((len(left), 1), np.int64), np.cumsum(equal, axis=1)), axis=1)
-        shared = total[:, passage:] - total[:, :-passage]
-        both = (column >= np.maximum(first[left], first[lead])[:, None]) & (column < np.minimum(first[left] + n[left], first[lead] + n[lead])[:, None])
-        hit = both & (shared >= need)
-        found = hit.any(axis=1)
-        for i in np.flatnonzero(found):
-            runs = np.flatnonzero(hit[i])
-            cuts = np.flatnonzero(np.diff(runs) > 1)
-            for a, b in zip([0, *(cuts + 1)], [*cuts, len(runs) - 1]):
-                m = int(left[i])
-                yield m, int(runs[a] - first[m]), int(runs[b] - runs[a] + 1), int(lead)
-        # A member whose every run is a repeat needs no other leader.
-        whole = hit.sum(axis=1) == n[left]
-        left = left[~whole]
+    out: list[tuple[np.ndarray, ...]] = []
+    rounds = 0
+    while len(left):
+        g = group[left]
+        head = np.concatenate(([True], g[1:] != g[:-1]))
+        leader = left[np.flatnonzero(head)][np.cumsum(head) - 1][~head]
+        left = left[~head]
+        if not len(left):
+            break
+        for lo in range(0, len(left), 4096):
+            m, led = left[lo : lo + 4096], leader[lo : lo + 4096]
+            mine = grid[m]
+            hit = _run_sums((mine == grid[led]) & (mine != 0), passage) >= need
+            hit &= todo[m] & owns[led]
+            todo[m] &= ~hit
+            some = np.flatnonzero(hit.any(axis=1))
+            if len(some):
+                edge = np.diff(np.pad(hit[some].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                row, start = np.nonzero(edge == 1)
+                stop = np.nonzero(edge == -1)[1]
+                who = some[row]
+                out.append((m[who], start - first[m[who]], stop - start, led[who]))
+        left = left[todo[left].any(axis=1)]
+        rounds += 1
+        if rounds == 1 or rounds % 64 == 0:
+            g = group[left]
+            many = np.bincount(g, minlength=1)[g] > 1 if len(g) else np.zeros(0, bool)
+            left = left[many]
+            if len(left):
+                todo[left] &= _run_sums(_recurring(grid[left], group[left]), passage) >= need
+                left = left[todo[left].any(axis=1)]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
 
 def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES, enough: int = ENOUGH, similarity: float = SIMILARITY) -> DataFrame:
@@ -303,16 +339,25 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
             fresh = ~repeats_row_before(rec[order])
             order = order[fresh]
             rec, begin, n = rec[order], begin[order], n[order]
-            new = np.flatnonzero(np.concatenate(([True], rec["key"][1:] != rec["key"][:-1])))
-            rows = []
-            for lo, hi in zip(new, np.append(new[1:], len(rec))):
-                if hi - lo < 2:
-                    continue
-                texts = [s[begin[i] : begin[i] + n[i]] for i in range(lo, hi)]
-                for m, at, count, lead in verify_group(rec[lo:hi], texts, passage, similarity):
-                    x = rec[lo + m]
-                    rows.append((int(x["doc"]), int(x["h"]), int(x["c"]) - int(x["back"]) + at, count, int(rec["doc"][lo + lead])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, _TYPES)], names=_NAMES[:5])
+            # Whole keys, about VERIFY_ROWS windows at a time
+            starts = np.flatnonzero(np.concatenate(([True], rec["key"][1:] != rec["key"][:-1])))
+            stops = np.append(starts[1:], len(rec))
+            alone = stops - starts < 2
+            starts, stops = starts[~alone], stops[~alone]
+            total = np.cumsum(stops - starts)
+            k = 0
+            while k < len(starts):
+                until = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + VERIFY_ROWS, "right")))
+                i = ranges(starts[k:until], (stops - starts)[k:until])
+                k = until
+                r = rec[i]
+                grid = np.zeros((len(i), 2 * passage - 1), _U)
+                row = np.repeat(np.arange(len(i)), n[i])
+                grid[row, ranges(passage - 1 - r["back"].astype(np.int64), n[i])] = s[ranges(begin[i], n[i])]
+                m, at, count, lead = verify_groups(r, grid, passage, similarity)
+                x = r[m]
+                cols = [x["doc"], x["h"].astype(np.int64), x["c"].astype(np.int64) - x["back"] + at, count.astype(np.int32), r["doc"][lead]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=_NAMES[:5])
 
     dealt = docs.mapInArrow(windows, "bucket int, kind int, data binary")
     found = staged(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(classes, _ROW), "passage-windows")
