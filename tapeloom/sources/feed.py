@@ -73,8 +73,8 @@ def _lines(spark: SparkSession, path: str, number: int, line_length: int) -> Dat
     rows = spark.read.option("lineSep", "\n").text(path)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     start = F.col("_metadata.file_block_start")
-    # Records begin at multiples of the line length; a block owns those that begin in it
-    first = F.expr(f"(_block + {line_length - 1}L) div {line_length}L")
+    # Records begin at multiples of the line length; the block before also reads the one that begins just at a block's start
+    first = F.expr(f"if(_block = 0, 0L, _block div {line_length}L + 1)")
     rows = rows.select(F.col("value").cast("binary").alias(RAW), start.alias("_block"), row.alias("_row"))
     return rows.select(RAW, (F.lit(number << SEQ_FILE_BITS) + first + F.col("_row")).alias("seq"))
 
