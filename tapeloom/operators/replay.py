@@ -79,6 +79,8 @@ def _fold(start: Callable[[str], SymbolReplay], emit: Callable[[SymbolReplay, It
         now, replay, last, rows = None, None, None, []
         for batch in batches:
             days, symbols, seqs = (batch.column(c).to_pylist() for c in ("day", "symbol", "seq"))
+            if pa.types.is_struct(batch.schema.field("seq").type):
+                seqs = [tuple(q.values()) for q in seqs]
             events = map(Event._make, zip(*(batch.column(c).to_pylist() for c in EVENT_COLUMNS)))
             for d, s, q, ev in zip(days, symbols, seqs, events):
                 if (d, s) != now:
@@ -323,11 +325,11 @@ def lockstep(events: list[Event], labelled: list[tuple], symbol: str = "", looka
 
 
 def diverging_events(orders: DataFrame, labels: DataFrame, order_by: Column | str | None = None) -> DataFrame:
-    """``lockstep`` for every symbol: ``labels`` has (symbol, kind, event_ts, aggressor, resting, price, quantity)."""
+    """``lockstep`` for every symbol: ``labels`` has (symbol, kind, event_ts, aggressor, resting, price, quantity, trade_number)."""
     import pandas as pd
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("seq")
+        left, right = left.sort_values("seq"), right.sort_values("trade_number")
         events = [Event._make(r) for r in left[list(EVENT_COLUMNS)].itertuples(index=False, name=None)]
         rows = right[["kind", "event_ts", "aggressor", "resting", "price", "quantity"]].itertuples(index=False, name=None)
         out = pd.DataFrame(list(lockstep(events, [r for r in rows], key[0])), columns=[x.split()[0] for x in DIVERGENCE_SCHEMA.split(", ")])
