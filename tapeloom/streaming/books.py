@@ -3,7 +3,7 @@
 The fold is the one of the batch replay; its state is kept per symbol and day
 by ``applyInPandasWithState``.  Within a micro-batch messages are sorted by ``seq``; across
 batches they must come in feed order, as a feed does.  The lookahead of the replay
-holds the newest messages back; a group that has been idle for ``idle`` is finished.
+holds the newest messages back; with ``idle_ms`` a book that had no messages for so long is finished.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tapeloom.operators.book import BUY, LOOKAHEAD, Event, SymbolReplay
 from tapeloom.operators.replay import EVENT_COLUMNS, FILL_SCHEMA, extract_events
 
 
-def stream_fills(orders: DataFrame, previous_close: dict[str, int] | None = None, lookahead: int = LOOKAHEAD, order_by: Column | str | None = None, idle_ms: int = 60_000) -> DataFrame:
+def stream_fills(orders: DataFrame, previous_close: dict[str, int] | None = None, lookahead: int = LOOKAHEAD, order_by: Column | str | None = None, idle_ms: int | None = None) -> DataFrame:
     """Trades of a streaming DataFrame of orders, in append mode."""
     closes = previous_close or {}
     names = [x.split()[0] for x in FILL_SCHEMA.split(", ")]
@@ -39,8 +39,10 @@ def stream_fills(orders: DataFrame, previous_close: dict[str, int] | None = None
         frame = pd.concat(list(batches)).sort_values("seq")
         fills = [f for r in frame[list(EVENT_COLUMNS)].itertuples(index=False, name=None) for f in replay.feed(Event._make(r))]
         state.update((pickle.dumps(replay),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield rows(symbol, fills)
 
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     events = extract_events(orders, order_by).groupBy("day", "symbol")
-    return events.applyInPandasWithState(step, FILL_SCHEMA, "replay binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.applyInPandasWithState(step, FILL_SCHEMA, "replay binary", "append", timeout)
