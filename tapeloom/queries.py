@@ -433,7 +433,7 @@ def touch_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay_snapshots(tape(spark, sf_dir), 1.0, 5)
+    return replay.replay_snapshots(tape(spark, sf_dir), 0.1, 5)
 
 
 @query()
