@@ -35,10 +35,19 @@ def is_blank(raw: Column) -> Column:
     return F.trim(raw, F.lit(PAD_CHARACTERS)) == ""
 
 
+def digits_value(text: Column) -> Column:
+    """The value of text without left padding, or null if it is not digits alone (of at most 18).
+
+    Casting refuses anything inside a number; comparing the first and last character refuses the
+    signs and blanks it would allow around one.
+    """
+    is_digit = lambda c: (c >= "0") & (c < ":")
+    return F.when(is_digit(text) & is_digit(F.substring(text, -1, 1)), text.try_cast("bigint"))
+
+
 def whole_number(raw: Column) -> Column:
     """A number, or null where the cell is blank or holds anything but digits after its padding."""
-    text = unpad(raw, "left")
-    return F.when(text.rlike(r"\A[0-9]{1,18}\z"), text.try_cast("bigint"))
+    return digits_value(unpad(raw, "left"))
 
 
 def small_number(raw: Column) -> Column:

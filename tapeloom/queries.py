@@ -12,7 +12,7 @@ from tapeloom import tapes
 from tapeloom.functions import values as V
 from tapeloom.operators import auction, features, labels, replay, verify
 from tapeloom.plans.predicate import compile_where
-from tapeloom.sources.decode import RAW, cell, decoded, projection
+from tapeloom.sources.decode import RAW, cell, decode, projection
 from tapeloom.sources.feed import _framed
 from tapeloom.sources.layouts import load
 
@@ -123,7 +123,7 @@ def _decode_query(layout: str) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = tape(spark, sf_dir).select(tapes.encode(version, _record_values(layout)))
-        return raw.select(*[decoded(f) for f in version.fields])
+        return decode(raw, version.fields)
 
     segment = {"cm": "'CASH'", "fa": "'FAO'", "cd": "'CDS'"}[layout[:2]]
     cols = [f"cast({segment if f.name == 'segment' else _FIELD_SQL.get(f.name, f.name)} AS {_SQL_TYPES[f.type]}) AS {f.name}" for f in version.fields]
@@ -167,8 +167,7 @@ def _where_query(name: str, where: str, condition: str) -> None:
         rows = _raw_orders(spark, sf_dir)
         found = compile_where(where, _CM, DAY, cell)
         rows = rows if found is None else rows.where(found)
-        picked = projection(_CM, ["symbol", "limit_price", "order_number"])
-        return rows.select("seq", *[decoded(f) for f in picked])
+        return decode(rows, projection(_CM, ["symbol", "limit_price", "order_number"]), keep=["seq"])
 
     sql = f"{TAPE}, holed AS (SELECT * REPLACE ({_HOLES} AS volume_disclosed) FROM tape) SELECT seq, cast(order_number AS bigint) AS order_number, symbol, cast(limit_price AS bigint) AS limit_price FROM holed WHERE {condition}"
     query(sql, f"where_{name}")(run)
@@ -197,7 +196,7 @@ for _n, _w, _c in (
 @query(f"{TAPE} SELECT symbol, cast(limit_price AS bigint) AS limit_price FROM tape WHERE series = 'EQ'")
 def project_layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _raw_orders(spark, sf_dir).where(compile_where("series == 'EQ'", _CM, DAY, cell))
-    return rows.select(*[decoded(f) for f in projection(_CM, ["limit_price", "symbol"])])
+    return decode(rows, projection(_CM, ["limit_price", "symbol"]))
 
 
 @query("SELECT count(*) - sum(CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END) AS rows_read, sum(CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END)::bigint AS rows_malformed FROM events WHERE event_id % 10 = 3 OR event_id % 10 = 4")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.errors import FeedError
@@ -30,27 +30,30 @@ def cell(f: Field, raw: str = RAW) -> Column:
     return F.substring(F.col(raw), f.offset + 1, f.length).cast("string")
 
 
-def decoded(f: Field, strict: bool = True, raw: str = RAW) -> Column:
-    """The value of a field.  Blank is null, but blank text is ''; a bad cell is an error (strict) or null."""
-    text = cell(f, raw)
+def _value(f: Field, text: Column, strict: bool) -> Column:
+    """The value of a cut cell.  Blank is null, but blank text is ''; a bad cell is an error (strict) or null."""
     kind = SPARK_TYPES[f.type]
-
-    def refuse() -> Column:
-        return F.raise_error(F.concat(F.lit(f"field {f.name}: bad value '"), F.coalesce(text, F.lit("")), F.lit("'"))).cast(kind)
-
+    refuse = F.raise_error(F.concat(F.lit(f"field {f.name}: bad value '"), text, F.lit("'")))
     if f.type == "str":
-        value = V.unpad(text, f.pad)
-        value = F.when(F.is_valid_utf8(text), value).otherwise(refuse() if strict else F.lit(None).cast("string"))
+        bad = refuse.cast("string") if strict else F.lit(None).cast("string")
+        value = F.when(F.is_valid_utf8(text), V.unpad(text, f.pad)).otherwise(bad)
     else:
         value = _PARSE[f.type](text)
         if strict:
-            value = F.when(V.is_blank(text), F.lit(None).cast(value_type(f))).otherwise(F.coalesce(value, F.raise_error(F.concat(F.lit(f"field {f.name}: bad value '"), text, F.lit("'"))).cast(value_type(f))))
+            none = F.lit(None).cast(value_type(f))
+            value = F.coalesce(value, F.when(V.is_blank(text), none).otherwise(refuse.cast(value_type(f))))
         if f.type == "jiffies":
             value = V.timestamp_of_micros(V.micros_of_ticks(value))
         value = value.cast(kind)
     return value.alias(f.name, metadata=f.spark.metadata)
 
 
+def decode(df: DataFrame, fields: Sequence[Field], strict: bool = True, keep: Sequence[str] = (), raw: str = RAW) -> DataFrame:
+    """Decoded columns of records, after the columns ``keep``: every cell is cut once, then parsed."""
+    cells = df.select(*keep, *[cell(f, raw).alias(f"_cell_{f.name}") for f in fields])
+    return cells.select(*keep, *[_value(f, F.col(f"_cell_{f.name}"), strict) for f in fields])
+
+
 def value_type(f: Field) -> str:
     """Type of a value before conversion to the column's type."""
     return {"u8": "smallint", "u64": "bigint", "price": "bigint", "jiffies": "bigint", "bool_yn": "boolean", "date_dmmmy": "date", "date_ymd": "date", "time_hms": "int"}[f.type]

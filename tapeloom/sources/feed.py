@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tapeloom.errors import FeedError
 from tapeloom.plans.predicate import compile_where
 from tapeloom.sources import storage
-from tapeloom.sources.decode import RAW, cell, decoded, projection
+from tapeloom.sources.decode import RAW, cell, decode, projection
 from tapeloom.sources.layouts import Layout, Version, require_date, require_layout
 
 PROBE_BYTES = 1025
@@ -153,7 +153,8 @@ def open_feed(
     if observe:
         kept = Observation()
         rows = rows.observe(kept, F.count(F.lit(1)).alias("emitted"))
-    out = rows.select(*[decoded(f, strict) for f in chosen], *([F.col("seq")] if with_seq else []))
+    out = decode(rows, chosen, strict, ["seq"])
+    out = out.select(*[f.name for f in chosen], *["seq"] * with_seq)
     return Feed(found, version, on, files, out, [f.name for f in chosen], seen, kept)
 
 
