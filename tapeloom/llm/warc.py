@@ -43,7 +43,7 @@ FRAME_MAGIC = 0xFD2FB528
 EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0).decode("latin-1")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Dictionary training: at most so many records, chosen by hash, so many bytes of each, and the dictionary's size.
-TRAIN_RECORDS, TRAIN_BYTES, DICT_BYTES = 1000, 16_384, 65_536
+TRAIN_RECORDS, TRAIN_BYTES, DICT_BYTES = 1000, 8192, 65_536
 
 FIELDS = "row_key bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -170,12 +170,12 @@ def write_archives(
     """Write one archive per partition of the deduplicated rows to ``path``."""
     spark = df.sparkSession
     clean = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    sample = (
-        df.select(F.xxhash64(F.lit("train"), key).alias("_h"), F.substring(clean, 1, TRAIN_BYTES).alias("_p"), F.col(url).alias("_u"), F.col(key).cast("long").alias("_k"))
-        .orderBy("_h", "_p")
-        .limit(TRAIN_RECORDS)
-    )
-    data = train_dictionary([make_record(r["_k"], r["_u"], bytes(r["_p"]), None, date) for r in sample.collect()])
+    # First the keys, then only their payloads: tasks send the driver a few small rows each
+    drawn = df.select(F.xxhash64(F.lit("train"), key).alias("_h"), F.col(key).alias("_drawn")).orderBy("_h", "_drawn").limit(TRAIN_RECORDS)
+    rows = df.join(F.broadcast(drawn.select("_drawn").distinct()), F.col(key).eqNullSafe(F.col("_drawn")), "left_semi")  # at most TRAIN_RECORDS keys
+    sample = rows.select(F.col(key).cast("long").alias("_k"), F.col(url).alias("_u"), F.substring(clean, 1, TRAIN_BYTES).alias("_p")).limit(TRAIN_RECORDS).collect()
+    sample.sort(key=lambda r: (r["_k"] is not None, r["_k"] or 0, bytes(r["_p"])))
+    data = train_dictionary([make_record(r["_k"], r["_u"], bytes(r["_p"]), None, date) for r in sample])
     shared = spark.sparkContext.broadcast(data)  # at most DICT_BYTES
 
     def compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
