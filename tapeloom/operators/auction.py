@@ -75,11 +75,12 @@ def auction_trades(orders: DataFrame, prices: DataFrame | None = None) -> DataFr
         F.max(F.when(buy, F.col("order_number"))).alias("b"), F.max(F.when(~buy, F.col("order_number"))).alias("s")
     )
     up = Window.partitionBy("symbol").orderBy("point")
-    ahead = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the top down, so that the frame only grows: a frame that shrinks would be summed anew for every row
+    down = Window.partitionBy("symbol").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = points.select(
         "symbol",
-        F.first("b", ignorenulls=True).over(ahead).alias("buy_order_number"),
-        F.first("s", ignorenulls=True).over(ahead).alias("sell_order_number"),
+        F.last("b", ignorenulls=True).over(down).alias("buy_order_number"),
+        F.last("s", ignorenulls=True).over(down).alias("sell_order_number"),
         F.col("auction_price").alias("price"),
         (F.col("point") - F.coalesce(F.lag("point").over(up), F.lit(0))).alias("quantity"),
     )
