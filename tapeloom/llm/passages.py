@@ -15,11 +15,12 @@ spans follow from a stack over those places alone.
    least ``enough`` of the ``hashes`` hash functions stay candidates and send their shingles.
 3. Verification, per key: a run is a near duplicate of an earlier document's (or place's)
    if the two runs aligned at their common smallest hash have a Jaccard
-   similarity of ``similarity`` or more, counting shingles equal at one offset.  Members are compared
-   with leaders, the earliest first; one that is not settled leads in its turn.  No group is capped and no pairs are listed.
+   similarity of ``similarity`` or more, counting shingles equal at one offset.  A forest is grown
+   breadth-first over the windows of a key, so all that are linked stay connected; runs that still lack an
+   earlier one are then compared within their tree.  No group is capped and no pairs are listed.
 
-Links go from a document to the leader it repeats; ``class_id`` is the smallest
-document reachable over them.
+Links go from a document to earlier ones it repeats, at least one for each run and those of the forest;
+``class_id`` is the smallest document reachable over them.
 
 Nulls and texts shorter than a run have no passages and are their own class; a
 null id sorts before all others and never names a class.  Rows equal in id and text are one
@@ -176,15 +177,16 @@ def joined_intervals(start: np.ndarray, n: np.ndarray, function: np.ndarray, has
     return good[start + n] > good[start]
 
 
-def _recurring(grid: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Cells whose shingle another member of the group has at the same offset."""
-    width = grid.shape[1]
-    mark = mixed(grid + (group.astype(_U) * _U(1024))[:, None] * _U(0x9E3779B97F4A7C15) + np.arange(width, dtype=_U)[None, :]).ravel()
-    order = np.argsort(mark)
-    same = mark[order[1:]] == mark[order[:-1]]
+def _recurring(grid: np.ndarray, group: np.ndarray, earlier: bool = False) -> np.ndarray:
+    """Cells whose shingle another member of the group has, or an earlier one; members come in order."""
+    mark = mixed(grid + (group.astype(_U) + _U(1))[:, None] * _U(0x9E3779B97F4A7C15)).ravel()
+    order = np.argsort(mark, kind="stable")
+    owner = order // grid.shape[1]
+    cut = np.flatnonzero(np.diff(mark[order], prepend=~mark[order[:1]]))
+    size = np.diff(np.append(cut, len(order)))
+    first, last = np.repeat(owner[cut], size), np.repeat(owner[cut + size - 1], size)
     out = np.zeros(mark.size, bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    out[order] = first < owner if earlier else first < last
     return out.reshape(grid.shape) & (grid != 0)
 
 
@@ -194,54 +196,96 @@ def _run_sums(cells: np.ndarray, passage: int) -> np.ndarray:
     return total[:, passage:] - total[:, :-passage]
 
 
-def verify_groups(rec: np.ndarray, grid: np.ndarray, passage: int, similarity: float) -> tuple[np.ndarray, ...]:
-    """(member, first run, runs, leader) of near duplicates among windows that come sorted by key, then place.
-
-    ``grid`` has the shingles by offset from the smallest hash, 0 where there are none.  A run of ``passage``
-    with x shingles equal at one offset has similarity x / (2 passage - x).  All groups go on at once: in each
-    round the first member left in a group leads and is compared with the others.  Runs that find a leader are settled; so
-    are runs with too few shingles that recur in their group, for they can match nobody.
-    """
-    need = int(np.ceil(2 * passage * similarity / (1 + similarity) - 1e-9))
-    first = passage - 1 - rec["back"].astype(np.int64)  # runs are grid columns [first, first + n)
-    n = rec["n"].astype(np.int64)
-    column = np.arange(passage)
-    group = np.cumsum(np.concatenate(([True], rec["key"][1:] != rec["key"][:-1]))) - 1
-    owns = (column >= first[:, None]) & (column < (first + n)[:, None])
-    todo = owns.copy()
-    left = np.arange(len(rec))
-    out: list[tuple[np.ndarray, ...]] = []
-    rounds = 0
-    while len(left):
-        g = group[left]
-        head = np.concatenate(([True], g[1:] != g[:-1]))
-        leader = left[np.flatnonzero(head)][np.cumsum(head) - 1][~head]
-        left = left[~head]
-        if not len(left):
-            break
-        for lo in range(0, len(left), 4096):
-            m, led = left[lo : lo + 4096], leader[lo : lo + 4096]
-            mine = grid[m]
-            hit = _run_sums((mine == grid[led]) & (mine != 0), passage) >= need
-            hit &= todo[m] & owns[led]
-            todo[m] &= ~hit
+class _Windows:
+    """The windows of whole keys and what is known of their runs."""
+
+    def __init__(self, rec: np.ndarray, grid: np.ndarray, passage: int, similarity: float) -> None:
+        self.rec, self.grid, self.passage = rec, grid, passage
+        self.need = int(np.ceil(2 * passage * similarity / (1 + similarity) - 1e-9))
+        self.first = passage - 1 - rec["back"].astype(np.int64)  # runs are grid columns [first, first + n)
+        column = np.arange(passage)
+        self.owns = (column >= self.first[:, None]) & (column < (self.first + rec["n"])[:, None])
+        self.todo = self.owns.copy()
+        self.out: list[tuple[np.ndarray, ...]] = []
+
+    def hits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Runs of each window of b that are near duplicates of a run of the earlier window of a beside it."""
+        p, need = self.passage, self.need
+        mine, other = self.grid[b], self.grid[a]
+        hit = (_run_sums((mine == other) & (mine != 0), p) >= need) & self.owns[a] & self.owns[b]
+        return hit
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs are linked; gives out the runs of the later windows that repeat the earlier ones."""
+        linked = np.zeros(len(a), bool)
+        for lo in range(0, len(a), 4096):
+            e, t = np.minimum(a[lo : lo + 4096], b[lo : lo + 4096]), np.maximum(a[lo : lo + 4096], b[lo : lo + 4096])
+            hit = self.hits(e, t)
             some = np.flatnonzero(hit.any(axis=1))
+            linked[lo + some] = True
+            np.logical_and.at(self.todo, t[some], ~hit[some])
             if len(some):
                 edge = np.diff(np.pad(hit[some].astype(np.int8), ((0, 0), (1, 1))), axis=1)
                 row, start = np.nonzero(edge == 1)
                 stop = np.nonzero(edge == -1)[1]
                 who = some[row]
-                out.append((m[who], start - first[m[who]], stop - start, led[who]))
-        left = left[todo[left].any(axis=1)]
-        rounds += 1
-        if rounds == 1 or rounds % 64 == 0:
-            g = group[left]
-            many = np.bincount(g, minlength=1)[g] > 1 if len(g) else np.zeros(0, bool)
-            left = left[many]
-            if len(left):
-                todo[left] &= _run_sums(_recurring(grid[left], group[left]), passage) >= need
-                left = left[todo[left].any(axis=1)]
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+                self.out.append((t[who], start - self.first[t[who]], stop - start, e[who]))
+        return linked
+
+
+def verify_groups(rec: np.ndarray, grid: np.ndarray, passage: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """(member, first run, runs, earlier member) of near duplicates among windows that come sorted by key, then place.
+
+    ``grid`` has the shingles by offset from the smallest hash, 0 where there are none.  Runs of ``passage``
+    with x shingles equal at one offset have similarity x / (2 passage - x).  All groups go on at once, in two steps: a
+    breadth-first forest over each group's windows, in which each round takes one window of a group and
+    compares it with those not reached yet; then runs without an earlier one so far, if enough of their shingles are in
+    earlier windows of their tree, are compared with the windows before them in the tree.
+    """
+    w = _Windows(rec, grid, passage, similarity)
+    group = np.cumsum(np.concatenate(([True], rec["key"][1:] != rec["key"][:-1]))) - 1
+    # In a group of more than a few, a window without a run of shingles enough that recur can match nobody.
+    able = np.ones(len(rec), bool)
+    large = np.flatnonzero(np.bincount(group)[group] > 3)
+    able[large] = ((_run_sums(_recurring(grid[large], group[large]), passage) >= w.need) & w.owns[large]).any(axis=1)
+    w.todo[~able] = False
+    left = np.flatnonzero(able)
+    tree = np.arange(len(rec))
+    queues: dict[int, list[int]] = {}
+    while len(left):
+        g = group[left]
+        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        size = np.diff(np.append(head, len(left)))
+        # The next reached window of each group, or its first unreached one as a new root.
+        taken = np.array([q.pop() if (q := queues.get(int(k))) else -1 for k in g[head]], np.int64)
+        root = taken < 0
+        taken[root] = left[head[root]]
+        rest = np.ones(len(left), bool)
+        rest[head[root]] = False
+        source = np.repeat(taken, size)[rest]
+        left = left[rest]
+        found = w.compare(source, left)
+        tree[left[found]] = tree[source[found]]
+        for x in left[found].tolist():
+            queues.setdefault(int(group[x]), []).append(x)
+        left = left[~found]
+    # Runs that may have an earlier one which the forest did not compare them with
+    in_tree = np.bincount(tree, minlength=len(rec))[tree] > 2
+    late = np.flatnonzero(in_tree & w.todo.any(axis=1))
+    if len(late):
+        members = np.flatnonzero(np.isin(tree, tree[late]))
+        w.todo[members] &= _run_sums(_recurring(grid[members], tree[members], True), passage) >= w.need
+        members = members[np.argsort(tree[members], kind="stable")]
+        begin = np.searchsorted(tree[members], np.arange(len(rec) + 1))
+        for t in late[w.todo[late].any(axis=1)].tolist():
+            before = members[begin[tree[t]] : begin[tree[t] + 1]]
+            before = before[: np.searchsorted(before, t)]
+            for lo in range(0, len(before), 256):
+                if not w.todo[t].any():
+                    break
+                e = before[lo : lo + 256]
+                w.compare(e, np.full(len(e), t))
+    return tuple(np.concatenate(x) for x in zip(*w.out)) if w.out else (np.zeros(0, np.int64),) * 4
 
 
 def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES, enough: int = ENOUGH, similarity: float = SIMILARITY) -> DataFrame:
@@ -379,7 +423,7 @@ def near_duplicate_passages(
     """(id, class_id, n_links, repeats_ids, n_words, n_repeated_words, n_spans, spans) of every row.
 
     ``spans`` are maximal runs of words that near-duplicate an earlier passage; ``repeats_ids`` are the
-    documents they repeat (leaders of their groups); ``n_links`` counts other documents linked either way.
+    documents they repeat (of each group those that were needed); ``n_links`` counts other documents linked either way.
     """
     if not 1 <= hashes <= 8 or not SHINGLE <= passage <= 120:
         raise ValueError("hashes must be 1 to 8, passage 5 to 120")
