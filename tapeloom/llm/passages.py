@@ -14,8 +14,8 @@ spans follow from a stack over those places alone.
 2. Interval join: in each document, runs covered by candidate windows of at
    least ``enough`` of the ``hashes`` hash functions stay candidates and send their shingles.
 3. Verification, per key: a run is a near duplicate of an earlier document's (or place's)
-   if the two runs aligned at their common smallest hash have a Jaccard
-   similarity of ``similarity`` or more, counting shingles equal at one offset.  A forest is grown
+   if their shingles, repeats counted, have a Jaccard similarity of ``similarity`` or more, wherever
+   they stand; overlapping runs of one document only count shingles at one offset.  A forest is grown
    breadth-first over the windows of a key, so all that are linked stay connected; runs that still lack an
    earlier one are then compared within their tree.  No group is capped and no pairs are listed.
 
@@ -196,6 +196,30 @@ def _run_sums(cells: np.ndarray, passage: int) -> np.ndarray:
     return total[:, passage:] - total[:, :-passage]
 
 
+def common_shingles(x: np.ndarray, y: np.ndarray, passage: int, product: np.ndarray | None = None) -> np.ndarray:
+    """Shingles that each run of x has in common with each run of y, repeats counted; 0 stands for none.
+
+    With ``product``, the equal pairs of each two runs, only shingles that repeat are counted anew.
+    """
+    if product is None:
+        product = _box_sums(((x[:, None] == y[None, :]) & (x != 0)[:, None])[None], passage)[0]
+    values = np.intersect1d(x[x != 0], y[y != 0])
+    a, b = values[:, None] == x, values[:, None] == y
+    twice = (a.sum(axis=1) > 1) | (b.sum(axis=1) > 1)
+    a, b = (_run_sums(m[twice], passage)[:, :, None] for m in (a, b))
+    b = b.transpose(0, 2, 1)
+    return product - (a * b - np.minimum(a, b)).sum(axis=0, dtype=np.int64)
+
+
+def _box_sums(cells: np.ndarray, passage: int) -> np.ndarray:
+    """Sums over squares of ``passage`` cells, for each matrix."""
+    total = np.zeros((len(cells), cells.shape[1] + 1, cells.shape[2] + 1), np.int16)
+    np.cumsum(cells, axis=1, out=total[:, 1:, 1:])
+    down = total[:, passage:] - total[:, :-passage]
+    np.cumsum(down, axis=2, out=down)
+    return down[:, :, passage:] - down[:, :, :-passage]
+
+
 class _Windows:
     """The windows of whole keys and what is known of their runs."""
 
@@ -205,7 +229,11 @@ class _Windows:
         self.first = passage - 1 - rec["back"].astype(np.int64)  # runs are grid columns [first, first + n)
         column = np.arange(passage)
         self.owns = (column >= self.first[:, None]) & (column < (self.first + rec["n"])[:, None])
+        self.short = (grid >> _U(40)).astype(np.uint16)
+        self.wide = np.pad(grid, ((0, 0), (0, passage)))
         self.todo = self.owns.copy()
+        ordered = np.sort(grid, axis=1)
+        self.repeats = ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] != 0)).any(axis=1)
         self.out: list[tuple[np.ndarray, ...]] = []
 
     def hits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,8 +241,43 @@ class _Windows:
         p, need = self.passage, self.need
         mine, other = self.grid[b], self.grid[a]
         hit = (_run_sums((mine == other) & (mine != 0), p) >= need) & self.owns[a] & self.owns[b]
+        # What may still be one at another offset: runs with enough shingles that the other window has anywhere.
+        # In a pair that is linked already only runs without an earlier one count.
+        open_ = self.owns[b] & ~hit & (self.todo[b] | ~hit.any(axis=1)[:, None])
+        i = np.flatnonzero(open_.any(axis=1))
+        more = []
+        for lo in range(0, len(i), 128):
+            k = i[lo : lo + 128]
+            there = (self.short[b[k]][:, :, None] == self.short[a[k]][:, None, :]).any(axis=2) & (mine[k] != 0)
+            more.append(k[((_run_sums(there, p) >= need) & open_[k]).any(axis=1)])
+        i = np.concatenate(more) if more else i
+        i = i[np.argsort(self.rec["n"][a[i]].astype(np.int64) * self.rec["n"][b[i]], kind="stable")]
+        for lo in range(0, len(i), 128):
+            k = i[lo : lo + 128]
+            hit[k] |= self._any_offset(a[k], b[k])
         return hit
 
+    def _any_offset(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        p, rec, first = self.passage, self.rec, self.first
+        n, m = rec["n"][b].astype(np.int64), rec["n"][a].astype(np.int64)
+        rows, columns = np.arange(n.max()), np.arange(m.max())
+        x = self.wide[b[:, None], first[b][:, None] + np.arange(n.max() + p - 1)]
+        y = self.wide[a[:, None], first[a][:, None] + np.arange(m.max() + p - 1)]
+        common = _box_sums((x[:, :, None] == y[:, None, :]) & (x != 0)[:, :, None], p)
+        good = common >= self.need
+        good &= (rows < n[:, None])[:, :, None] & (columns < m[:, None])[:, None, :]
+        # In one document runs that overlap share the text itself; they count at the same offset only.
+        start = rec["c"].astype(np.int64) - rec["back"]
+        for k in np.flatnonzero((rec["doc"][a] == rec["doc"][b]) & (rec["h"][a] == rec["h"][b])):
+            good[k] &= np.abs(start[b[k]] + rows[:, None] - start[a[k]] - columns[None, :]) >= p
+        # A shingle that a window has twice was counted in pairs.
+        for k in np.flatnonzero(good.any(axis=(1, 2)) & (self.repeats[a] | self.repeats[b])):
+            good[k] &= common_shingles(x[k], y[k], p, common[k]) >= self.need
+        out = np.zeros((len(a), p), bool)
+        row, run = np.nonzero(good.any(axis=2))
+        out[row, first[b[row]] + run] = True
+        return out
+
     def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs are linked; gives out the runs of the later windows that repeat the earlier ones."""
         linked = np.zeros(len(a), bool)
@@ -237,7 +300,7 @@ def verify_groups(rec: np.ndarray, grid: np.ndarray, passage: int, similarity: f
     """(member, first run, runs, earlier member) of near duplicates among windows that come sorted by key, then place.
 
     ``grid`` has the shingles by offset from the smallest hash, 0 where there are none.  Runs of ``passage``
-    with x shingles equal at one offset have similarity x / (2 passage - x).  All groups go on at once, in two steps: a
+    with x shingles in common have similarity x / (2 passage - x).  All groups go on at once, in two steps: a
     breadth-first forest over each group's windows, in which each round takes one window of a group and
     compares it with those not reached yet; then runs without an earlier one so far, if enough of their shingles are in
     earlier windows of their tree, are compared with the windows before them in the tree.

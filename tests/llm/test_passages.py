@@ -17,6 +17,32 @@ def similar(a, b):
     return x / (2 * len(a) - x) >= SIMILARITY - 1e-9
 
 
+def runs(ws):
+    s = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    return [s[i : i + P] for i in range(len(s) - P + 1)]
+
+
+def brute(ts):
+    """(class, repeated words) of each text; runs of one text are not compared."""
+    group, cover = list(range(len(ts))), [set() for _ in ts]
+    of = [runs(t) for t in ts]
+    for b in range(len(ts)):
+        for a in range(b):
+            hit = [i for i, x in enumerate(of[b]) if any(similar(x, y) for y in of[a])]
+            for i in hit:
+                cover[b].update(range(i, i + P + 4))
+            if hit:
+                lo, hi = sorted((group[a], group[b]))
+                group = [lo if g == hi else g for g in group]
+    return [(g, len(c)) for g, c in zip(group, cover)]
+
+
+def found(spark, ts, **more):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(ts)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.class_id, x.n_repeated_words) for x in passages.near_duplicate_passages(df, **more).collect()}
+    return [got[i] for i in range(len(ts))]
+
+
 def one_group(rows):
     """One window of one run for each row of shingles, all with their smallest hash at the same place."""
     rec, grid = np.zeros(len(rows), WINDOW), np.zeros((len(rows), 2 * P - 1), np.uint64)
@@ -62,3 +88,25 @@ def test_a_group_of_many_edits_equals_brute_force():
             lo, hi = sorted((names[a], names[b]))
             names[:] = [lo if x == hi else x for x in names]
     assert group == tree
+
+
+def test_insertions_and_deletions_equal_brute_force(spark):
+    r = random.Random(6)
+    say = lambda k: ["w%d" % r.randrange(100_000) for _ in range(k)]
+    ts = []
+    for k, n in enumerate((50, 60, 75, 88, 120)):
+        w = say(n)
+        at = n // 2
+        ts += [w, w[:at] + ["new"] + w[at:], w[:at] + w[at + 1 :], say(k + 3) + w[: at - 3] + w[at:] + say(4)]
+    want, got = brute(ts), found(spark, ts, hashes=8, enough=1)
+    assert sum(x[1] > 0 for x in want) >= 8
+    assert got == want
+
+
+def test_common_shingles_count_repeats():
+    r = random.Random(2)
+    x, y = (np.array([r.choice([0, 0, *range(1, 9)]) for _ in range(2 * P - 1)], np.uint64) for _ in range(2))
+    got = passages.common_shingles(x, y, P)
+    for i, j in ((0, 0), (3, 40), (45, 1), (20, 20)):
+        a, b = (Counter(z[k : k + P][z[k : k + P] > 0].tolist()) for z, k in ((x, i), (y, j)))
+        assert got[i, j] == sum((a & b).values())
