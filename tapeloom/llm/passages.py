@@ -41,7 +41,7 @@ from tapeloom.llm.components import connected_components
 from tapeloom.llm.suffix_dedup import _blobs, _by_bucket, _dealt, merge_spans, mixed, powers, repeats_row_before, sliding_min
 from tapeloom.llm.util import ranges, raw_texts, shuffle_partitions, slices, staged
 
-SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 46, 4, 2, 0.8
+SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 46, 4, 1, 0.8
 REDUCE_BYTES = 24 << 20
 #: Windows verified at once.
 VERIFY_ROWS = 16_384

@@ -110,3 +110,19 @@ def test_common_shingles_count_repeats():
     for i, j in ((0, 0), (3, 40), (45, 1), (20, 20)):
         a, b = (Counter(z[k : k + P][z[k : k + P] > 0].tolist()) for z, k in ((x, i), (y, j)))
         assert got[i, j] == sum((a & b).values())
+
+
+def test_pairs_just_over_the_threshold_become_candidates():
+    r = random.Random(11)
+    n, ts = 1000, []
+    for k in range(n):
+        w = ["w%d" % r.randrange(10**6) for _ in range(P + 4)]
+        at = r.randrange(4, P)
+        ts += [w, [*w[:at], f"new{k}", *w[at + 1 :]]]
+    assert similar(runs(ts[0])[0], runs(ts[1])[0])
+    s, ends, _ = passages.shingles([" ".join(t).encode() for t in ts], passages._WordHash())
+    rec = passages.compact_windows(s, ends, np.arange(2 * n), np.zeros(2 * n, np.uint32), P, passages.HASHES)
+    key = np.zeros((2 * n, passages.HASHES), np.uint64)
+    key[rec["doc"], (rec["key"] & np.uint64(7)).astype(int)] = rec["key"]
+    lost = ((key[::2] == key[1::2]).sum(axis=1) < passages.ENOUGH).sum()
+    assert lost <= 0.005 * n
