@@ -96,7 +96,7 @@ def mix(
     placed_cells = cells.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     plan = placed_cells.join(targets, ["_null", "_source"]).drop("_sum")
 
-    in_cell = Window.partitionBy("_null", "_source", "_cell").orderBy("_key", "_id", "size")
+    in_cell = Window.partitionBy("_null", "_source", "_cell").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.col("_before") + F.sum("size").over(in_cell) - F.col("size")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")

@@ -171,6 +171,15 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_cuts_a_group_of_equal_rows(spark):
+    df = spark.createDataFrame([(None, "two words", "a")] * 1000 + [(i, "one", "b") for i in range(10)], "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.mix(df, share=0.5).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert set(target) == {"a", "b"} and all(abs(taken[s] - target[s]) < 1 for s in taken)
+
+
 def decontam_brute(t, items):
     low = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
     ws, hit, names = low(t), set(), []
