@@ -13,11 +13,15 @@ spans follow from a stack over those places alone.
    where possible.  Keys with several contents are candidates.
 2. Interval join: in each document, runs covered by candidate windows of at
    least ``enough`` of the ``hashes`` hash functions stay candidates and send their shingles.
-3. Verification, per key: a run is a near duplicate of an earlier document's (or place's)
-   if their shingles, repeats counted, have a Jaccard similarity of ``similarity`` or more, wherever
-   they stand; overlapping runs of one document only count shingles at one offset.  A forest is grown
-   breadth-first over the windows of a key, so all that are linked stay connected; runs that still lack an
-   earlier one are then compared within their tree.  No group is capped and no pairs are listed.
+3. Verification, per key: two runs are near duplicates if their shingles, repeats counted, have a Jaccard
+   similarity of ``similarity`` or more, that is 41 of 46 in common at 0.8.  A word that is changed, put in or left out takes
+   neighbouring shingles only, so such runs share 41 shingles that stand end to end or around one gap of at most five.  Each
+   such part goes by the sum of its shingles' hashes, whatever their order; runs with an equal part are linked to
+   the first that has it.  That takes time in proportion to the runs of a key and not to their pairs, drops no candidate and
+   keeps all that are linked connected.  Of every linked pair of windows one pair of runs is counted shingle by shingle.
+
+Not found are runs that are similar only because shingles repeat inside them in another order.  Windows of one key that differ are
+one task's work, about two kilobytes each.
 
 Links go from a document to earlier ones it repeats, at least one for each run and those of the forest;
 ``class_id`` is the smallest document reachable over them.
@@ -39,12 +43,12 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.components import connected_components
 from tapeloom.llm.suffix_dedup import _blobs, _by_bucket, _dealt, merge_spans, mixed, powers, repeats_row_before, sliding_min
-from tapeloom.llm.util import ranges, raw_texts, shuffle_partitions, slices, staged
+from tapeloom.llm.util import bucket_count, ranges, raw_texts, shuffle_partitions, slices, staged
 
 SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 46, 4, 1, 0.8
 REDUCE_BYTES = 24 << 20
-#: Windows verified at once.
-VERIFY_ROWS = 16_384
+#: Windows verified at once, whole keys, and parts of their runs that are sorted at once.
+VERIFY_ROWS, MAX_PARTS = 8_192, 1 << 23
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NO_ID = -(2**63)
@@ -177,184 +181,244 @@ def joined_intervals(start: np.ndarray, n: np.ndarray, function: np.ndarray, has
     return good[start + n] > good[start]
 
 
-def _recurring(grid: np.ndarray, group: np.ndarray, earlier: bool = False) -> np.ndarray:
-    """Cells whose shingle another member of the group has, or an earlier one; members come in order."""
-    mark = mixed(grid + (group.astype(_U) + _U(1))[:, None] * _U(0x9E3779B97F4A7C15)).ravel()
-    order = np.argsort(mark, kind="stable")
-    owner = order // grid.shape[1]
-    cut = np.flatnonzero(np.diff(mark[order], prepend=~mark[order[:1]]))
-    size = np.diff(np.append(cut, len(order)))
-    first, last = np.repeat(owner[cut], size), np.repeat(owner[cut + size - 1], size)
-    out = np.zeros(mark.size, bool)
-    out[order] = first < owner if earlier else first < last
-    return out.reshape(grid.shape) & (grid != 0)
+def _repeated_cells(cells: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Which of the chosen cells have a mark that another one has too; a few others pass as well (two small count tables)."""
+    bits = max(16, int(cells.sum()).bit_length() + 1)
+    at = np.flatnonzero(cells)
+    m = mark.ravel()[at]
+    again = np.ones(len(at), bool)
+    for shift in (64 - bits, 32 - bits // 2):
+        slot = ((m >> _U(shift)) & _U((1 << bits) - 1)).astype(np.int64)
+        again &= np.bincount(slot, minlength=1 << bits)[slot] > 1
+    out = np.zeros(cells.size, bool)
+    out[at[again]] = True
+    return out.reshape(cells.shape)
+
+
+def _covered(lead: np.ndarray, length: int, passage: int) -> np.ndarray:
+    """For each start of ``length`` cells whether they lie in one of the chosen runs."""
+    starts = 2 * passage - length
+    total = np.zeros((len(lead), passage + 1), np.int16)
+    np.cumsum(lead, axis=1, out=total[:, 1:])
+    k = np.arange(starts)
+    return total[:, np.minimum(k, passage - 1) + 1] > total[:, np.clip(k - (passage - length), 0, passage)]
+
 
+def common_shingles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles row i of x has in common with row i of y, repeats counted; 0 stands for none."""
 
-def _run_sums(cells: np.ndarray, passage: int) -> np.ndarray:
-    total = np.zeros((len(cells), cells.shape[1] + 1), np.int16)
-    np.cumsum(cells, axis=1, out=total[:, 1:])
-    return total[:, passage:] - total[:, :-passage]
+    def ranked(z: np.ndarray) -> np.ndarray:
+        z = np.sort(z, axis=1)
+        rank = np.zeros(z.shape, np.int64)
+        for k in range(1, z.shape[1]):
+            rank[:, k] = np.where(z[:, k] == z[:, k - 1], rank[:, k - 1] + 1, 0)
+        return np.where(z == 0, _U(0), mixed(z + rank.astype(_U) * _U(0x9E3779B97F4A7C15)))
 
+    both = np.sort(np.concatenate((ranked(x), ranked(y)), axis=1), axis=1)
+    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != 0)).sum(axis=1)
 
-def common_shingles(x: np.ndarray, y: np.ndarray, passage: int, product: np.ndarray | None = None) -> np.ndarray:
-    """Shingles that each run of x has in common with each run of y, repeats counted; 0 stands for none.
 
-    With ``product``, the equal pairs of each two runs, only shingles that repeat are counted anew.
+def _branches(grid: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Borders j between cells j - 1 and j where the left (right) shingle has other neighbours elsewhere in its key.
+
+    Small tables of the least and the greatest neighbour; shingles that share a slot only add borders.
+    """
+    bits = max(16, int(grid.size).bit_length())
+    slot = (mark >> _U(64 - bits)).astype(np.int64)
+    out = []
+    for mine, other in ((slice(None, -1), slice(1, None)), (slice(1, None), slice(None, -1))):
+        there = (grid[:, :-1] != 0) & (grid[:, 1:] != 0)
+        at, x = slot[:, mine][there], mark[:, other][there]
+        least, most = np.full(1 << bits, ~_U(0)), np.zeros(1 << bits, _U)
+        np.minimum.at(least, at, x)
+        np.maximum.at(most, at, x)
+        border = np.zeros(grid.shape, bool)
+        border[:, 1:][there] = (least != most)[at]
+        out.append(border)
+    return out[0], out[1]
+
+
+class _Parts:
+    """Parts of runs under the sums of their shingles: ``need`` cells end to end, or around a gap of up to ``passage - need``.
+
+    A gap begins and ends where the key's windows branch: what two windows share is taken as long as it goes.
     """
-    if product is None:
-        product = _box_sums(((x[:, None] == y[None, :]) & (x != 0)[:, None])[None], passage)[0]
-    values = np.intersect1d(x[x != 0], y[y != 0])
-    a, b = values[:, None] == x, values[:, None] == y
-    twice = (a.sum(axis=1) > 1) | (b.sum(axis=1) > 1)
-    a, b = (_run_sums(m[twice], passage)[:, :, None] for m in (a, b))
-    b = b.transpose(0, 2, 1)
-    return product - (a * b - np.minimum(a, b)).sum(axis=0, dtype=np.int64)
-
-
-def _box_sums(cells: np.ndarray, passage: int) -> np.ndarray:
-    """Sums over squares of ``passage`` cells, for each matrix."""
-    total = np.zeros((len(cells), cells.shape[1] + 1, cells.shape[2] + 1), np.int16)
-    np.cumsum(cells, axis=1, out=total[:, 1:, 1:])
-    down = total[:, passage:] - total[:, :-passage]
-    np.cumsum(down, axis=2, out=down)
-    return down[:, :, passage:] - down[:, :, :-passage]
-
-
-class _Windows:
-    """The windows of whole keys and what is known of their runs."""
-
-    def __init__(self, rec: np.ndarray, grid: np.ndarray, passage: int, similarity: float) -> None:
-        self.rec, self.grid, self.passage = rec, grid, passage
-        self.need = int(np.ceil(2 * passage * similarity / (1 + similarity) - 1e-9))
-        self.first = passage - 1 - rec["back"].astype(np.int64)  # runs are grid columns [first, first + n)
-        column = np.arange(passage)
-        self.owns = (column >= self.first[:, None]) & (column < (self.first + rec["n"])[:, None])
-        self.short = (grid >> _U(40)).astype(np.uint16)
-        self.wide = np.pad(grid, ((0, 0), (0, passage)))
-        self.todo = self.owns.copy()
-        ordered = np.sort(grid, axis=1)
-        self.repeats = ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] != 0)).any(axis=1)
-        self.out: list[tuple[np.ndarray, ...]] = []
-
-    def hits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Runs of each window of b that are near duplicates of a run of the earlier window of a beside it."""
-        p, need = self.passage, self.need
-        mine, other = self.grid[b], self.grid[a]
-        hit = (_run_sums((mine == other) & (mine != 0), p) >= need) & self.owns[a] & self.owns[b]
-        # What may still be one at another offset: runs with enough shingles that the other window has anywhere.
-        # In a pair that is linked already only runs without an earlier one count.
-        open_ = self.owns[b] & ~hit & (self.todo[b] | ~hit.any(axis=1)[:, None])
-        i = np.flatnonzero(open_.any(axis=1))
-        more = []
-        for lo in range(0, len(i), 128):
-            k = i[lo : lo + 128]
-            there = (self.short[b[k]][:, :, None] == self.short[a[k]][:, None, :]).any(axis=2) & (mine[k] != 0)
-            more.append(k[((_run_sums(there, p) >= need) & open_[k]).any(axis=1)])
-        i = np.concatenate(more) if more else i
-        i = i[np.argsort(self.rec["n"][a[i]].astype(np.int64) * self.rec["n"][b[i]], kind="stable")]
-        for lo in range(0, len(i), 128):
-            k = i[lo : lo + 128]
-            hit[k] |= self._any_offset(a[k], b[k])
-        return hit
-
-    def _any_offset(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        p, rec, first = self.passage, self.rec, self.first
-        n, m = rec["n"][b].astype(np.int64), rec["n"][a].astype(np.int64)
-        rows, columns = np.arange(n.max()), np.arange(m.max())
-        x = self.wide[b[:, None], first[b][:, None] + np.arange(n.max() + p - 1)]
-        y = self.wide[a[:, None], first[a][:, None] + np.arange(m.max() + p - 1)]
-        common = _box_sums((x[:, :, None] == y[:, None, :]) & (x != 0)[:, :, None], p)
-        good = common >= self.need
-        good &= (rows < n[:, None])[:, :, None] & (columns < m[:, None])[:, None, :]
-        # In one document runs that overlap share the text itself; they count at the same offset only.
-        start = rec["c"].astype(np.int64) - rec["back"]
-        for k in np.flatnonzero((rec["doc"][a] == rec["doc"][b]) & (rec["h"][a] == rec["h"][b])):
-            good[k] &= np.abs(start[b[k]] + rows[:, None] - start[a[k]] - columns[None, :]) >= p
-        # A shingle that a window has twice was counted in pairs.
-        for k in np.flatnonzero(good.any(axis=(1, 2)) & (self.repeats[a] | self.repeats[b])):
-            good[k] &= common_shingles(x[k], y[k], p, common[k]) >= self.need
-        out = np.zeros((len(a), p), bool)
-        row, run = np.nonzero(good.any(axis=2))
-        out[row, first[b[row]] + run] = True
-        return out
-
-    def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which pairs are linked; gives out the runs of the later windows that repeat the earlier ones."""
-        linked = np.zeros(len(a), bool)
-        for lo in range(0, len(a), 4096):
-            e, t = np.minimum(a[lo : lo + 4096], b[lo : lo + 4096]), np.maximum(a[lo : lo + 4096], b[lo : lo + 4096])
-            hit = self.hits(e, t)
-            some = np.flatnonzero(hit.any(axis=1))
-            linked[lo + some] = True
-            np.logical_and.at(self.todo, t[some], ~hit[some])
-            if len(some):
-                edge = np.diff(np.pad(hit[some].astype(np.int8), ((0, 0), (1, 1))), axis=1)
-                row, start = np.nonzero(edge == 1)
-                stop = np.nonzero(edge == -1)[1]
-                who = some[row]
-                self.out.append((t[who], start - self.first[t[who]], stop - start, e[who]))
-        return linked
+
+    def __init__(self, grid: np.ndarray, mark: np.ndarray, salt: np.ndarray, lead: np.ndarray, good: np.ndarray, passage: int, need: int) -> None:
+        self.rows = np.flatnonzero(lead.any(axis=1))
+        self.passage, self.need, self.width = passage, need, grid.shape[1]
+        cells = grid[self.rows]
+        self.sums = np.zeros((len(self.rows), self.width + 1), _U)
+        np.cumsum(cells, axis=1, out=self.sums[:, 1:])
+        self.bad = np.zeros((len(self.rows), self.width + 1), np.int8)
+        np.cumsum(~good[self.rows], axis=1, out=self.bad[:, 1:])
+        self.lead, self.salt = lead[self.rows], salt[self.rows]
+        self.opens, self.closes = _branches(cells, mark[self.rows])
+
+    def each(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(gap, flat place of the part's first cell, sum) of all parts without a bad cell."""
+        for gap in range(self.passage - self.need + 1):
+            length = self.need + gap
+            covered = _covered(self.lead, length, self.passage)
+            starts = covered.shape[1]
+            whole = self.sums[:, length:] - self.sums[:, :starts] + self.salt[:, None]
+            bad = self.bad[:, length:] - self.bad[:, :starts]
+            if not gap:
+                at = np.flatnonzero(covered & (bad == 0))
+                yield 0, self.rows[at // starts] * self.width + at % starts, whole.ravel()[at]
+                continue
+            row, j = np.nonzero(self.opens[:, : self.width - gap] & self.closes[:, gap:])
+            for lo in range(0, len(row), 1 << 15):
+                r, x = row[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+                k = x[:, None] - np.arange(1, self.need)
+                inside = (k >= 0) & (k < starts)
+                k = np.where(inside, k, 0)
+                at = r[:, None] * starts + k
+                hole = self.bad[r, x + gap] - self.bad[r, x]
+                ok = inside & covered.ravel()[at] & (bad.ravel()[at] == hole[:, None])
+                which = np.nonzero(ok)[0]
+                rr = r[which]
+                yield gap, self.rows[rr] * self.width + k[ok], whole.ravel()[at[ok]] - (self.sums[rr, x[which] + gap] - self.sums[rr, x[which]])
+
+
+def _shared_parts(parts: _Parts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, gap, first place, its gap) of parts that have the same sum as one that stands before."""
+    rounds, turn = 1, 0
+    while turn < rounds:
+        sums, places, held = [], [], 0
+        for gap, at, s in parts.each():
+            if rounds > 1:
+                mine = np.flatnonzero((s >> _U(8)) % _U(rounds) == _U(turn))
+                at, s = at[mine], s[mine]
+            sums.append(s)
+            places.append(at * 8 + gap)
+            held += len(s)
+            if held > 2 * MAX_PARTS and not turn:
+                break
+        if held > 2 * MAX_PARTS and not turn:  # too many at once: by remainders of the sum
+            rounds *= 4
+            continue
+        turn += 1
+        s, place = np.concatenate(sums), np.concatenate(places)
+        if not len(s):
+            continue
+        # Sorted by leading bits, with the number of the part in the last ones; those alone with theirs are left out
+        low = _U((1 << max(1, len(s).bit_length())) - 1)
+        packed = np.sort((s & ~low) | np.arange(len(s), dtype=_U))
+        same = (packed[1:] & ~low) == (packed[:-1] & ~low)
+        twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        i = (packed[twice] & low).astype(np.int64)
+        if not len(i):
+            continue
+        i = i[np.argsort(s[i], kind="stable")]
+        head = np.flatnonzero(np.concatenate(([True], s[i[1:]] != s[i[:-1]])))
+        first = np.repeat(np.minimum.reduceat(place[i], head), np.diff(np.append(head, len(i))))
+        later = first // 8 != place[i] // 8
+        every = int(place.max()) + 1  # below 2 ** 31 as long as a key has fewer than three million windows
+        mine, theirs = np.divmod(np.unique(place[i][later] * every + first[later]), every)
+        yield mine // 8, mine % 8, theirs // 8, theirs % 8
 
 
 def verify_groups(rec: np.ndarray, grid: np.ndarray, passage: int, similarity: float) -> tuple[np.ndarray, ...]:
     """(member, first run, runs, earlier member) of near duplicates among windows that come sorted by key, then place.
 
     ``grid`` has the shingles by offset from the smallest hash, 0 where there are none.  Runs of ``passage``
-    with x shingles in common have similarity x / (2 passage - x).  All groups go on at once, in two steps: a
-    breadth-first forest over each group's windows, in which each round takes one window of a group and
-    compares it with those not reached yet; then runs without an earlier one so far, if enough of their shingles are in
-    earlier windows of their tree, are compared with the windows before them in the tree.
+    with x shingles in common have similarity x / (2 passage - x), so ``need`` common ones are enough.  A word that is changed, put in or left
+    out takes neighbouring shingles only; so runs that are similar share ``need`` shingles that stand end to
+    end or around one gap in either.  All such parts of the distinct runs go by the sum of their shingles; runs that share
+    one are linked to the first that has it.  This takes time in proportion to the runs, however many of a key are similar or nearly so.
     """
-    w = _Windows(rec, grid, passage, similarity)
+    none = (np.zeros(0, np.int64),) * 4
+    need = int(np.ceil(2 * passage * similarity / (1 + similarity) - 1e-9))
+    if passage - need > 7:
+        raise ValueError("passage and similarity leave gaps of more than 7 shingles")
     group = np.cumsum(np.concatenate(([True], rec["key"][1:] != rec["key"][:-1]))) - 1
-    # In a group of more than a few, a window without a run of shingles enough that recur can match nobody.
-    able = np.ones(len(rec), bool)
-    large = np.flatnonzero(np.bincount(group)[group] > 3)
-    able[large] = ((_run_sums(_recurring(grid[large], group[large]), passage) >= w.need) & w.owns[large]).any(axis=1)
-    w.todo[~able] = False
-    left = np.flatnonzero(able)
-    tree = np.arange(len(rec))
-    queues: dict[int, list[int]] = {}
-    while len(left):
-        g = group[left]
-        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        size = np.diff(np.append(head, len(left)))
-        # The next reached window of each group, or its first unreached one as a new root.
-        taken = np.array([q.pop() if (q := queues.get(int(k))) else -1 for k in g[head]], np.int64)
-        root = taken < 0
-        taken[root] = left[head[root]]
-        rest = np.ones(len(left), bool)
-        rest[head[root]] = False
-        source = np.repeat(taken, size)[rest]
-        left = left[rest]
-        found = w.compare(source, left)
-        tree[left[found]] = tree[source[found]]
-        for x in left[found].tolist():
-            queues.setdefault(int(group[x]), []).append(x)
-        left = left[~found]
-    # Runs that may have an earlier one which the forest did not compare them with
-    in_tree = np.bincount(tree, minlength=len(rec))[tree] > 2
-    late = np.flatnonzero(in_tree & w.todo.any(axis=1))
-    if len(late):
-        members = np.flatnonzero(np.isin(tree, tree[late]))
-        w.todo[members] &= _run_sums(_recurring(grid[members], tree[members], True), passage) >= w.need
-        members = members[np.argsort(tree[members], kind="stable")]
-        begin = np.searchsorted(tree[members], np.arange(len(rec) + 1))
-        for t in late[w.todo[late].any(axis=1)].tolist():
-            before = members[begin[tree[t]] : begin[tree[t] + 1]]
-            before = before[: np.searchsorted(before, t)]
-            for lo in range(0, len(before), 256):
-                if not w.todo[t].any():
-                    break
-                e = before[lo : lo + 256]
-                w.compare(e, np.full(len(e), t))
-    return tuple(np.concatenate(x) for x in zip(*w.out)) if w.out else (np.zeros(0, np.int64),) * 4
+    salt = mixed((group + 1).astype(_U) * _U(0x9E3779B97F4A7C15))
+    first = passage - 1 - rec["back"].astype(np.int64)  # runs are grid columns [first, first + n)
+    column = np.arange(passage)
+    owns = (column >= first[:, None]) & (column < (first + rec["n"])[:, None])
+    start = rec["c"].astype(np.int64) - (passage - 1)  # place of grid column 0 in the document
+
+    def apart(row: np.ndarray, col: np.ndarray, of: np.ndarray, of_col: np.ndarray) -> np.ndarray:
+        """In one document runs that overlap share the text itself and do not count."""
+        one = (rec["doc"][row] == rec["doc"][of]) & (rec["h"][row] == rec["h"][of])
+        return ~one | (np.abs(start[row] + col - start[of] - of_col) >= passage)
+
+    # Equal runs: all but the first repeat it
+    sums = np.zeros((len(rec), 2 * passage), _U)
+    np.cumsum(grid, axis=1, out=sums[:, 1:])
+    row, col = np.nonzero(owns)
+    whole = (sums[:, passage:] - sums[:, :passage] + salt[:, None])[row, col]
+    _, lead, which = np.unique(whole, return_index=True, return_inverse=True)
+    of, of_col = row[lead][which], col[lead][which]
+    again = (of != row) & apart(row, col, of, of_col)
+    leads = np.zeros(owns.shape, bool)
+    leads[row[lead], col[lead]] = True
+    del sums, whole
+    out = [_runs_of(row[again], col[again], col[again] + 1, of[again], passage)]
+
+    # Only runs with enough shingles that others of the key have can be similar to one of them
+    mark = mixed(grid + salt[:, None])
+    good = grid != 0
+    for _ in range(2):
+        good = _repeated_cells(good, mark)
+        bad = np.zeros((len(rec), 2 * passage), np.int8)
+        np.cumsum(~good, axis=1, out=bad[:, 1:])
+        leads &= bad[:, passage:] - bad[:, :passage] <= passage - need
+        edge = np.zeros((len(rec), 2 * passage), np.int8)
+        edge[:, :passage] += leads
+        edge[:, passage:] -= leads
+        good &= np.cumsum(edge[:, :-1], axis=1) > 0
+    parts = _Parts(grid, mark, salt, leads, good, passage, need)
+    del mark, bad, edge, good
+    for at, gap, of, of_gap in _shared_parts(parts):
+        width = grid.shape[1]
+        (row, k), (of, of_k) = np.divmod(at, width), np.divmod(of, width)
+        # The runs that hold the part, as far as the window has them
+        lo = np.maximum(k - (passage - need - gap), first[row])
+        hi = np.minimum(k + 1, first[row] + rec["n"][row])
+        of_lo = np.maximum(of_k - (passage - need - of_gap), first[of])
+        ok = (row != of) & (lo < hi) & apart(row, lo, of, of_lo)
+        row, lo, hi, of, of_lo = (x[ok] for x in (row, lo, hi, of, of_lo))
+        # Verification: one pair of runs of each pair of windows is counted
+        pair, one, which = np.unique(row * len(rec) + of, return_index=True, return_inverse=True)
+        true = np.zeros(len(pair), bool)
+        for x in range(0, len(pair), 4096):
+            i = one[x : x + 4096]
+            mine, other = (grid[r[:, None], c[:, None] + column] for r, c in ((row[i], lo[i]), (of[i], of_lo[i])))
+            true[x : x + 4096] = common_shingles(mine, other) >= need
+        ok = true[which]
+        out.append(_runs_of(row[ok], lo[ok], hi[ok], of[ok], passage))
+    found = tuple(np.concatenate(x) for x in zip(*out))
+    return (found[0], found[1] - first[found[0]], found[2], found[3]) if len(found[0]) else none
+
+
+def _runs_of(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, of: np.ndarray, passage: int) -> tuple[np.ndarray, ...]:
+    """(row, first run, runs, of): the runs [lo, hi) of each pair of windows put together."""
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 4
+    every = int(of.max()) + 1
+    pair, which = np.unique(row * every + of, return_inverse=True)
+    parts = []
+    for at in range(0, len(pair), 1 << 18):
+        n = min(1 << 18, len(pair) - at)
+        mine = (which >= at) & (which < at + n) if len(pair) > n else slice(None)
+        edge = np.zeros(n * (passage + 2), np.int32)
+        base = (which[mine] - at) * (passage + 2)
+        np.add.at(edge, base + lo[mine] + 1, 1)
+        np.add.at(edge, base + hi[mine] + 1, -1)
+        on = (np.cumsum(edge.reshape(n, -1), axis=1) > 0).astype(np.int8)
+        step = np.diff(on, axis=1)
+        who, begin = np.nonzero(step == 1)
+        stop = np.nonzero(step == -1)[1]
+        parts.append((pair[who + at] // every, begin, stop - begin, pair[who + at] % every))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES, enough: int = ENOUGH, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc, h, start, n, of): runs of ``passage`` shingles from start, n of them, that repeat document ``of``; docs is (doc, h, text)."""
     parts = shuffle_partitions(docs.sparkSession)
-    buckets = 4 * parts
+    buckets = bucket_count(docs, "text")
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, size = _WordHash(), [], 0

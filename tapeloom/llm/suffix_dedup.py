@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.util import ranges, shuffle_partitions, slices, staged
+from tapeloom.llm.util import bucket_count, ranges, shuffle_partitions, slices, staged
 
 LENGTH = 100
 GRAM = 24
@@ -315,7 +315,7 @@ def removal_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tu
         raise ValueError("length must be at least the anchor's and 120 at most")
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    buckets = 4 * parts
+    buckets = bucket_count(docs, "text")
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

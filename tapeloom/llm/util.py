@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII whitespace of the word pattern ``[^\x20\x09-\x0D]+``; the same set that ``bytes.split()`` uses.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -20,12 +21,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is made, once per application.
+    Only where that is unset and all runs on one machine (local tests) a temporary folder is made, once per application.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = sc.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
@@ -48,6 +51,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Text whose records are dealt to one bucket; a task reads one bucket at a time.
+BUCKET_BYTES = 16 << 20
+
+
+def bucket_count(df: DataFrame, text: str) -> int:
+    """Buckets for the records made of a text column: enough that one holds those of about ``BUCKET_BYTES``."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(4 * shuffle_partitions(df.sparkSession), int(total) // BUCKET_BYTES + 1)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch with about ``max_bytes`` of ``column`` each, one row at least."""
     n = batch.num_rows
