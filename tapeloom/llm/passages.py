@@ -12,7 +12,7 @@ spans follow from a stack over those places alone.
    content are one class: all but its first are exact repeats, which is settled in the map task
    where possible.  Keys with several contents are candidates.
 2. Interval join: in each document, runs covered by candidate windows of at
-   least ``enough`` of the ``hashes`` hash functions stay candidates and send their shingles.
+   least ``enough`` of the ``hashes`` hash functions stay candidates and send their words.
 3. Verification, per key: two runs are near duplicates if their shingles, repeats counted, have a Jaccard
    similarity of ``similarity`` or more, that is 41 of 46 in common at 0.8.  A word that is changed, put in or left out takes
    neighbouring shingles only, so such runs share 41 shingles that stand end to end or around one gap of at most five.  Each
@@ -38,6 +38,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -451,36 +452,31 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
             yield _flag_batch(first[shared])
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Join the flagged windows of each document and ship the shingles of those that stay."""
-        cache, held, size = _WordHash(), [], 0
+        """Join the flagged windows of each document and ship the words of those that stay, packed by bucket."""
+        recs: list[np.ndarray] = []
+        said: list[bytes] = []
+        size, zip_ = 0, zstandard.ZstdCompressor(level=1)
 
         def out() -> pa.RecordBatch:
-            rec = np.concatenate([x for x, _ in held])
-            data = np.concatenate([x for _, x in held])
-            n = rec["n"].astype(np.int64) + passage - 1
-            begin = np.cumsum(n) - n
+            rec = np.concatenate(recs)
             bucket = (rec["key"] >> _U(20)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((rec["key"], bucket))
             cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             rows = []
             for lo, hi in zip(cut, np.append(cut[1:], len(order))):
                 i = order[lo:hi]
-                rows.append((int(bucket[i[0]]), len(i), rec[i].tobytes() + data[ranges(begin[i], n[i])].tobytes()))
+                rows.append((int(bucket[i[0]]), len(i), zip_.compress(rec[i].tobytes() + b"\n".join([said[k] for k in i]))))
             return _blobs(rows)
 
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                s, ends, _ = shingles(raw_texts(part, "text"), cache)
-                begins = np.concatenate(([0], ends[:-1]))
                 flags = part.column("flags")
                 offsets = flags.offsets.to_numpy()
                 f = flags.flatten()
                 start, n, back, key = (f.field(k).to_numpy() for k in ("start", "n", "back", "key"))
                 docs_, h = part.column("doc").to_numpy(), part.column("h").to_numpy()
-                for i in range(part.num_rows):
+                for i, text in enumerate(raw_texts(part, "text")):
                     a, b = offsets[i] - offsets[0], offsets[i + 1] - offsets[0]
-                    if a == b:
-                        continue
                     fn = (key[a:b].view(_U) & _U(7)).astype(np.int64)
                     stay = np.flatnonzero(joined_intervals(start[a:b], n[a:b].astype(np.int64), fn, hashes, enough)) + a
                     if not len(stay):
@@ -488,21 +484,25 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
                     rec = np.zeros(len(stay), WINDOW)
                     rec["key"], rec["doc"], rec["h"] = key[stay].view(_U), docs_[i], h[i]
                     rec["c"], rec["back"], rec["n"] = start[stay] + back[stay], back[stay], n[stay]
-                    held.append((rec, s[ranges(begins[i] + start[stay], n[stay].astype(np.int64) + passage - 1)]))
-                    size += 8 * len(held[-1][1])
+                    recs.append(rec)
+                    ws = text.translate(_LOWER).split()
+                    new = [b" ".join(ws[x : x + k]) for x, k in zip(start[stay].tolist(), (n[stay] + passage + SHINGLE - 2).tolist())]
+                    said += new
+                    size += sum(map(len, new))
                 if size >= 16 << 20:
                     yield out()
-                    held, size = [], 0
-        if held:
+                    recs, said, size = [], [], 0
+        if recs:
             yield out()
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, unzip = _WordHash(), zstandard.ZstdDecompressor()
         for held in _by_bucket(batches):
             recs, data = [], []
             for count, blobs in held.items():
-                for d in blobs:
+                for d in map(unzip.decompress, blobs):
                     recs.append(np.frombuffer(d, WINDOW, count))
-                    data.append(np.frombuffer(d, _U, offset=count * WINDOW.itemsize))
+                    data.append(shingles(d[count * WINDOW.itemsize :].split(b"\n"), cache)[0])
             rec, s = np.concatenate(recs), np.concatenate(data)
             n = rec["n"].astype(np.int64) + passage - 1
             begin = np.cumsum(n) - n
