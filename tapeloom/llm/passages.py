@@ -147,6 +147,20 @@ def split_classes(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 REPEAT = np.dtype([("doc", "<i8"), ("h", "<u4"), ("start", "<u4"), ("n", "u1"), ("of", "<i8")])
 
 
+def by_columns(rows: np.ndarray) -> bytes:
+    """The bytes of records field by field, which packs better than row by row."""
+    return b"".join(np.ascontiguousarray(rows[k]).tobytes() for k in rows.dtype.names)
+
+
+def of_columns(data: bytes, kind: np.dtype) -> np.ndarray:
+    n, at = len(data) // kind.itemsize, 0
+    rows = np.zeros(n, kind)
+    for k in kind.names:
+        rows[k] = np.frombuffer(data, kind[k], n, at)
+        at += n * kind[k].itemsize
+    return rows
+
+
 def _repeats(rec: np.ndarray, of: np.ndarray) -> np.ndarray:
     out = np.zeros(len(rec), REPEAT)
     out["doc"], out["h"], out["start"], out["n"], out["of"] = rec["doc"], rec["h"], rec["c"] - rec["back"], rec["n"], of
@@ -251,8 +265,14 @@ class _Parts:
         cells = grid[self.rows]
         self.sums = np.zeros((len(self.rows), self.width + 1), _U)
         np.cumsum(cells, axis=1, out=self.sums[:, 1:])
-        self.bad = np.zeros((len(self.rows), self.width + 1), np.int8)
-        np.cumsum(~good[self.rows], axis=1, out=self.bad[:, 1:])
+        # Good cells that end just before each border, and that begin at it
+        good = good[self.rows]
+        self.before, self.after = np.zeros(good.shape, np.int16), np.zeros(good.shape, np.int16)
+        for k in range(1, self.width):
+            self.before[:, k] = (self.before[:, k - 1] + 1) * good[:, k - 1]
+        self.after[:, -1] = good[:, -1]
+        for k in range(self.width - 2, -1, -1):
+            self.after[:, k] = (self.after[:, k + 1] + 1) * good[:, k]
         self.lead, self.salt = lead[self.rows], salt[self.rows]
         self.opens, self.closes = _branches(cells, mark[self.rows])
 
@@ -263,23 +283,23 @@ class _Parts:
             covered = _covered(self.lead, length, self.passage)
             starts = covered.shape[1]
             whole = self.sums[:, length:] - self.sums[:, :starts] + self.salt[:, None]
-            bad = self.bad[:, length:] - self.bad[:, :starts]
+            hole = self.sums[:, gap:] - self.sums[:, : self.width + 1 - gap]
             if not gap:
-                at = np.flatnonzero(covered & (bad == 0))
+                at = np.flatnonzero(covered & (self.after[:, :starts] >= length))
                 yield 0, self.rows[at // starts] * self.width + at % starts, whole.ravel()[at]
                 continue
-            row, j = np.nonzero(self.opens[:, : self.width - gap] & self.closes[:, gap:])
+            # Good cells before the gap and after it must be ``need`` together
+            row, j = np.nonzero(self.opens[:, : self.width - gap] & self.closes[:, gap:] & (self.before[:, : self.width - gap] + self.after[:, gap:] >= self.need))
             for lo in range(0, len(row), 1 << 15):
                 r, x = row[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
-                k = x[:, None] - np.arange(1, self.need)
-                inside = (k >= 0) & (k < starts)
-                k = np.where(inside, k, 0)
-                at = r[:, None] * starts + k
-                hole = self.bad[r, x + gap] - self.bad[r, x]
-                ok = inside & covered.ravel()[at] & (bad.ravel()[at] == hole[:, None])
-                which = np.nonzero(ok)[0]
-                rr = r[which]
-                yield gap, self.rows[rr] * self.width + k[ok], whole.ravel()[at[ok]] - (self.sums[rr, x[which] + gap] - self.sums[rr, x[which]])
+                first = np.maximum(0, np.maximum(x - self.before[r, x], x - self.need + 1))
+                last = np.minimum(np.minimum(x, starts), x + gap + self.after[r, x + gap] - length + 1)
+                n = np.maximum(last - first, 0)
+                k, r, x = ranges(first, n), np.repeat(r, n), np.repeat(x, n)
+                at = r * starts + k
+                ok = covered.ravel()[at]
+                at, k, r, x = at[ok], k[ok], r[ok], x[ok]
+                yield gap, self.rows[r] * self.width + k, whole.ravel()[at] - hole[r, x]
 
 
 def _shared_parts(parts: _Parts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -422,11 +442,12 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
     buckets = bucket_count(docs, "text")
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, size = _WordHash(), [], 0
+        cache, held, size, zip_ = _WordHash(), [], 0, zstandard.ZstdCompressor(level=1)
 
         def reduced() -> Iterator[pa.RecordBatch]:
             first, more, of = split_classes(np.concatenate(held))
-            rows = [*_dealt(0, (first["key"] >> _U(20)).astype(np.int64) % buckets, first), *_dealt(1, (more["key"] >> _U(20)).astype(np.int64) % buckets, _repeats(more, of))]
+            bucket = lambda x: (x["key"] >> _U(20)).astype(np.int64) % buckets
+            rows = [(b, k, zip_.compress(by_columns(np.frombuffer(d, (WINDOW, REPEAT)[k])))) for b, k, d in (*_dealt(0, bucket(first), first), *_dealt(1, bucket(more), _repeats(more, of)))]
             for lo in range(0, len(rows), 64):
                 yield _blobs(rows[lo : lo + 64])
 
@@ -442,10 +463,11 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
             yield from reduced()
 
     def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
         for held in _by_bucket(batches):
             for d in held.get(1, []):
-                yield _row_batch(np.frombuffer(d, REPEAT))
-            first, more, of = split_classes(np.frombuffer(b"".join(held.get(0, [])), WINDOW))
+                yield _row_batch(of_columns(unzip.decompress(d), REPEAT))
+            first, more, of = split_classes(np.concatenate([of_columns(unzip.decompress(d), WINDOW) for d in held.get(0, [])] or [np.zeros(0, WINDOW)]))
             yield _row_batch(_repeats(more, of))
             same = first["key"][1:] == first["key"][:-1]
             shared = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(first) else np.zeros(0, bool)
