@@ -1,15 +1,19 @@
 """Comparing generated trades with the exchange's own.
 
-All measures are equi-joins and sums on trade keys; nothing is ordered or collected.
-Trades have (symbol, txn_time, buy_order_number, sell_order_number, trade_price, trade_quantity).
+Both sides are counted together by trade key in one shuffle; pairs, orders and securities are sums over those counts.
+Nothing is numbered, ordered or collected.  Trades have (symbol, txn_time, buy_order_number, sell_order_number,
+trade_price, trade_quantity); with ``by`` = ("day", "symbol") several sessions are compared at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = ("symbol", "buy_order_number", "sell_order_number", "trade_price", "trade_quantity")
+TRADE = ("buy_order_number", "sell_order_number", "trade_price", "trade_quantity")
+KEY = ("symbol", *TRADE)
 CONTINUOUS = "09:15:00"
 
 
@@ -18,64 +22,96 @@ def since(trades: DataFrame, start: str | None) -> DataFrame:
     return trades if start is None else trades.where(F.date_format("txn_time", "HH:mm:ss") >= start)
 
 
-def numbered(trades: DataFrame) -> DataFrame:
-    """Equal trades numbered 1, 2, .. so that joins match multisets one to one."""
-    w = Window.partitionBy(*KEY).orderBy(F.lit(1))
-    return trades.select(*KEY).withColumn("k", F.row_number().over(w))
+def counted(actual: DataFrame, replayed: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(by.., trade key, a, r): how often each trade is among the actual and among the generated ones."""
+    one = lambda t, a, r: t.select(*by, *TRADE, F.lit(a).alias("a"), F.lit(r).alias("r"))
+    return one(actual, 1, 0).unionAll(one(replayed, 0, 1)).groupBy(*by, *TRADE).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+
+
+def pair_sums(counts: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Per order pair: trades, equal trades, and quantity and value on either side."""
+    total = lambda n, x: F.sum(F.col(n) * x)
+    q, value = F.col("trade_quantity"), F.col("trade_quantity") * F.col("trade_price")
+    return counts.groupBy(*by, "buy_order_number", "sell_order_number").agg(
+        F.sum("a").alias("a"), F.sum("r").alias("r"), F.sum(F.least("a", "r")).alias("exact"),
+        total("a", q).alias("aq"), total("r", q).alias("rq"), total("a", value).alias("av"), total("r", value).alias("rv"),
+    )
+
+
+def order_sums(pairs: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Per order, on whichever side: trades and quantity among the actual (a, aq) and the generated ones (r, rq)."""
+    sides = pairs.select(*by, F.explode(F.array("buy_order_number", "sell_order_number")).alias("order_number"), "a", "r", "aq", "rq")
+    return sides.groupBy(*by, "order_number").agg(*[F.sum(c).alias(c) for c in ("a", "r", "aq", "rq")])
+
+
+_PAIRS = {
+    "trades": F.sum,
+    "exact": F.sum,
+    "pairs": F.count_if,
+    "pairs_exact": F.count_if,
+    "volume": F.sum,
+    "volume_replayed": F.sum,
+}
 
 
-def exact_matches(actual: DataFrame, replayed: DataFrame) -> DataFrame:
-    """(symbol, trades, exact): trades that a generated one equals in all key columns, each used once."""
-    hit = numbered(replayed).withColumn("_hit", F.lit(True))
-    return numbered(actual).join(hit, [*KEY, "k"], "left").groupBy("symbol").agg(F.count("*").alias("trades"), F.count("_hit").alias("exact"))
+def _of_pairs(pairs: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Measures per security, for those that have actual trades."""
+    known = F.col("a") > 0
+    what = {
+        "trades": F.col("a"),
+        "exact": F.col("exact"),
+        "pairs": known,
+        "pairs_exact": known & (F.col("r") > 0) & (F.col("aq") == F.col("rq")) & (F.col("av") == F.col("rv")),
+        "volume": F.col("aq"),
+        "volume_replayed": F.col("rq"),
+    }
+    out = pairs.groupBy(*by).agg(*[_PAIRS[n](what[n]).alias(n) for n in names], F.sum("a").alias("_known"))
+    return out.where("_known > 0").drop("_known")
 
 
-def pair_matches(actual: DataFrame, replayed: DataFrame) -> DataFrame:
-    """(symbol, pairs, pairs_exact): order pairs whose quantity and value agree."""
-    pair = ["symbol", "buy_order_number", "sell_order_number"]
+def exact_matches(actual: DataFrame, replayed: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(by.., trades, exact): trades that a generated one equals in all key columns, each used once."""
+    return _of_pairs(pair_sums(counted(actual, replayed, by), by), by, ("trades", "exact"))
 
-    def sums(t: DataFrame, tag: str) -> DataFrame:
-        return t.groupBy(*pair).agg(F.sum("trade_quantity").alias(f"{tag}q"), F.sum(F.col("trade_price") * F.col("trade_quantity")).alias(f"{tag}v"))
 
-    both = sums(actual, "a").join(sums(replayed, "r"), pair, "left")
-    return both.groupBy("symbol").agg(F.count("*").alias("pairs"), F.count_if((F.col("aq") == F.col("rq")) & (F.col("av") == F.col("rv"))).alias("pairs_exact"))
+def pair_matches(actual: DataFrame, replayed: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(by.., pairs, pairs_exact): order pairs whose quantity and value agree."""
+    return _of_pairs(pair_sums(counted(actual, replayed, by), by), by, ("pairs", "pairs_exact"))
 
 
-def order_volumes(trades: DataFrame) -> DataFrame:
-    """(symbol, order_number, quantity) over both sides."""
-    sides = [trades.select("symbol", F.col(f"{s}_order_number").alias("order_number"), "trade_quantity") for s in ("buy", "sell")]
-    return sides[0].unionAll(sides[1]).groupBy("symbol", "order_number").agg(F.sum("trade_quantity").alias("quantity"))
+def volumes(actual: DataFrame, replayed: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(by.., volume, volume_replayed)."""
+    return _of_pairs(pair_sums(counted(actual, replayed, by), by), by, ("volume", "volume_replayed"))
 
 
-def order_matches(actual: DataFrame, replayed: DataFrame) -> DataFrame:
-    """(symbol, orders, orders_exact): orders whose traded quantity agrees."""
-    r = order_volumes(replayed).withColumnRenamed("quantity", "_r")
-    both = order_volumes(actual).join(r, ["symbol", "order_number"], "left")
-    return both.groupBy("symbol").agg(F.count("*").alias("orders"), F.count_if(F.col("quantity") == F.col("_r")).alias("orders_exact"))
+def _of_orders(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    known = F.col("a") > 0
+    same = known & (F.col("r") > 0) & (F.col("aq") == F.col("rq"))
+    out = order_sums(pairs, by).groupBy(*by).agg(F.count_if(known).alias("orders"), F.count_if(same).alias("orders_exact"))
+    return out.where("orders > 0")
 
 
-def volumes(actual: DataFrame, replayed: DataFrame) -> DataFrame:
-    """(symbol, volume, volume_replayed)."""
-    v = lambda t, n: t.groupBy("symbol").agg(F.sum("trade_quantity").alias(n))
-    both = v(actual, "volume").join(v(replayed, "_r"), "symbol", "left")
-    return both.select("symbol", "volume", F.coalesce("_r", F.lit(0)).alias("volume_replayed"))
+def order_matches(actual: DataFrame, replayed: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(by.., orders, orders_exact): orders whose traded quantity agrees."""
+    return _of_orders(pair_sums(counted(actual, replayed, by), by), by)
 
 
 MEASURES = ("trades", "exact", "pairs", "pairs_exact", "orders", "orders_exact", "volume", "volume_replayed")
 
 
-def verify(actual: DataFrame, replayed: DataFrame, continuous_only: bool = False) -> DataFrame:
-    """One row per symbol of ``actual`` with all ``MEASURES``, in symbol order."""
+def verify(actual: DataFrame, replayed: DataFrame, continuous_only: bool = False, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """One row per security of ``actual`` with all ``MEASURES``, in order of ``by``."""
     start = CONTINUOUS if continuous_only else None
-    a, r = since(actual, start), since(replayed, start)
-    out = exact_matches(a, r).join(pair_matches(a, r), "symbol").join(order_matches(a, r), "symbol").join(volumes(a, r), "symbol")
-    return out.select("symbol", *MEASURES).orderBy("symbol")
+    pairs = pair_sums(counted(since(actual, start), since(replayed, start), by), by)
+    out = _of_pairs(pairs, by, tuple(_PAIRS)).join(_of_orders(pairs, by), list(by))
+    return out.select(*by, *MEASURES).orderBy(*by)
 
 
 def with_totals(report: DataFrame) -> DataFrame:
     """The report and a row ALL that sums it."""
-    total = report.agg(*[F.sum(m).alias(m) for m in MEASURES]).select(F.lit("ALL").alias("symbol"), *MEASURES)
-    return report.unionByName(total)
+    keys = [c for c in report.columns if c not in MEASURES]
+    total = report.agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return report.unionByName(total.select(*[(F.lit("ALL") if k == "symbol" else F.lit(None)).cast(report.schema[k].dataType).alias(k) for k in keys], *MEASURES))
 
 
 def missed(actual: DataFrame, replayed: DataFrame) -> DataFrame:
@@ -84,11 +120,8 @@ def missed(actual: DataFrame, replayed: DataFrame) -> DataFrame:
 
 
 def report_lines(session: str, rows: list) -> list[str]:
-    """The report as text, percentages of each measure."""
-    share = lambda a, b: f"{100 * a / b:7.2f}%" if b else "      -%"
-    out = [f"{'session':10s} {'symbol':11s} {'trades':>9s} {'missed':>7s} {'exact':>8s} {'pairs':>8s} {'orders':>8s} {'volume':>8s}"]
-    for r in rows:
-        out.append(
-            f"{session:10s} {r.symbol:11s} {r.trades:9,d} {r.trades - r.exact:7,d} {share(r.exact, r.trades)} {share(r.pairs_exact, r.pairs)} {share(r.orders_exact, r.orders)} {share(r.volume_replayed, r.volume)}"
-        )
-    return out
+    """The report as tab-separated text: each measure found of its total."""
+    of = (("exact", "trades"), ("pairs_exact", "pairs"), ("orders_exact", "orders"), ("volume_replayed", "volume"))
+    return ["\t".join(("day", "security", *(total for _, total in of)))] + [
+        "\t".join((session, r["symbol"], *(f"{r[found]}/{r[total]}" for found, total in of))) for r in rows
+    ]

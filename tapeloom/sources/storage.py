@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -14,6 +16,20 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+_own_dirs: dict[str, str] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; on one machine a temporary folder serves."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local"):
+            raise FeedError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own_dirs.get(sc.applicationId) or _own_dirs.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="tapeloom-"))
+    return f"{root.rstrip('/')}/tapeloom/{name}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)

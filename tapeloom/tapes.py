@@ -103,3 +103,89 @@ def write_feed(df: DataFrame, version: Version, values: dict[str, Column], path:
     """Write records in order as one feed file folder (for tests and benchmarks)."""
     rows = df.repartition(1).sortWithinPartitions(order).select(encode(version, values).cast("string").alias("value"))
     rows.write.mode("overwrite").option("lineSep", "\n").option("compression", "gzip" if gzip else "none").text(path)
+
+
+#: Quantities and price of an event's block of messages, common to Spark SQL and DuckDB.
+BLOCK = {
+    "symbol": "concat('SYM', cast(user_id % 8 AS varchar(8)))",
+    "p": "10000 + 5 * (cast(round(value * 100) AS bigint) % 40)",
+    "q1": "1 + event_id % 50",
+    "q2": "1 + event_id % 37",
+    "q3": "1 + event_id % 23",
+    "big": "1 + event_id % 89",
+    "clip": "1 + event_id % 5",
+    "rule": "event_id % 8",
+}
+#: rule -> messages (order in block, activity, side, price, volume, disclosed, flag); order 4 is the one that trades on arrival.
+RULES: dict[int, list[tuple[int, int, str, str, str, str, str]]] = {
+    # price, then time: both orders at the better price go first
+    0: [(1, 1, "S", "p", "q1", "0", ""), (2, 1, "S", "p + 5", "q2", "0", ""), (3, 1, "S", "p", "q3", "0", ""), (4, 1, "B", "p + 5", "big", "0", "")],
+    # a disclosed quantity shows one clip and goes behind the other order
+    1: [(1, 1, "S", "p", "q1 + 10", "clip", ""), (2, 1, "S", "p", "q2", "0", ""), (4, 1, "B", "p", "big", "0", "")],
+    # more quantity loses the place, less keeps it
+    2: [(1, 1, "S", "p", "q1", "0", ""), (2, 1, "S", "p", "q2", "0", ""), (1, 4, "S", "p", "q1 + 5", "0", ""), (4, 1, "B", "p", "big", "0", "")],
+    3: [(1, 1, "S", "p", "q1 + 5", "0", ""), (2, 1, "S", "p", "q2", "0", ""), (1, 4, "S", "p", "q1", "0", ""), (4, 1, "B", "p", "big", "0", "")],
+    # a stop order is held until its second entry
+    4: [(1, 1, "S", "p", "q1", "0", "stop"), (2, 1, "S", "p", "q2", "0", ""), (1, 1, "S", "p", "q1", "0", ""), (4, 1, "B", "p", "big", "0", "")],
+    # what an immediate or market order does not get is gone
+    5: [(1, 1, "S", "p", "q1", "0", ""), (2, 1, "S", "p + 10", "q2", "0", ""), (4, 1, "B", "p", "big", "0", "ioc")],
+    6: [(1, 1, "S", "p", "q1", "0", ""), (2, 1, "S", "p + 10", "q2", "0", ""), (4, 1, "B", "0", "big", "0", "market")],
+    # a seller meets the highest bid first
+    7: [(1, 1, "B", "p", "q1", "0", ""), (2, 1, "B", "p + 5", "q2", "0", ""), (3, 1, "B", "p", "q3", "0", ""), (4, 1, "S", "p", "big", "0", "")],
+}
+#: rule -> trades in order (resting order, price, quantity that others took before, the most this one gives).
+OUTCOMES: dict[int, list[tuple[int, str, str, str]]] = {
+    0: [(1, "p", "0", "q1"), (3, "p", "q1", "q3"), (2, "p + 5", "q1 + q3", "q2")],
+    1: [(1, "p", "0", "clip"), (2, "p", "clip", "q2"), (1, "p", "clip + q2", "q1 + 10 - clip")],
+    2: [(2, "p", "0", "q2"), (1, "p", "q2", "q1 + 5")],
+    3: [(1, "p", "0", "q1"), (2, "p", "q1", "q2")],
+    4: [(2, "p", "0", "q2"), (1, "p", "q2", "q1")],
+    5: [(1, "p", "0", "q1")],
+    6: [(1, "p", "0", "q1"), (2, "p + 10", "q1", "q2")],
+    7: [(2, "p + 5", "0", "q2"), (1, "p", "q2", "q1"), (3, "p", "q2 + q1", "q3")],
+}
+#: Messages of a block: those of its rule, then the cancels of its orders.
+BLOCK_SLOTS = 8
+
+
+def rules_tape(events: DataFrame) -> DataFrame:
+    """A block of messages per event that exercises one rule of the book and leaves nothing behind."""
+    def messages(rule: int) -> Column:
+        given = RULES[rule]
+        orders = sorted({m[0] for m in given})
+        rows = [(k, a, s, px, v, d, f) for k, a, s, px, v, d, f in given] + [(k, 3, next(m[2] for m in given if m[0] == k), "p", "0", "0", "") for k in orders]
+        made = [
+            f"named_struct('m', {i}L, 'k', {k}L, 'a', cast({a} as smallint), 's', '{s}', 'px', cast({px} as bigint), 'v', cast({v} as bigint), 'd', cast({d} as bigint), 'f', '{f}')"
+            for i, (k, a, s, px, v, d, f) in enumerate(rows)
+        ]
+        return F.expr(f"array({', '.join(made)})")
+
+    base = events.selectExpr("event_id", *[f"{e} AS {n}" for n, e in BLOCK.items()])
+    every = F.when(F.col("rule") == 0, messages(0))
+    for rule in range(1, len(RULES)):
+        every = every.when(F.col("rule") == rule, messages(rule))
+    x = base.withColumn("x", F.explode(every))
+    flag = lambda name: F.col("x.f") == name
+    seq = F.col("event_id") * BLOCK_SLOTS + F.col("x.m")
+    return x.select(
+        seq.cast("bigint").alias("seq"), "symbol", timestamp_of_micros(F.lit(OPEN_MICROS) + seq * 1000).alias("txn_time"), (F.col("event_id") * 10 + F.col("x.k")).alias("order_number"),
+        F.col("x.a").alias("activity_type"), F.col("x.s").alias("buy_sell"), F.col("x.px").alias("limit_price"), F.col("x.v").alias("volume_original"), F.col("x.d").alias("volume_disclosed"),
+        F.lit(1).alias("algo_indicator"), F.lit(2).alias("client_identity"), flag("ioc").alias("ioc_flag"), flag("market").alias("mkt_order_flag"), flag("stop").alias("stop_loss_flag"),
+        F.when(flag("stop"), F.col("p")).otherwise(0).alias("trigger_price"),
+    )
+
+
+def sql_rule_fills() -> str:
+    """DuckDB SELECT of the trades that the blocks lead to: what is left of the incoming order, up to what each resting one gives."""
+    base = "SELECT event_id, " + ", ".join(f"{e} AS {n}" for n, e in BLOCK.items()) + " FROM events"
+    parts = []
+    for rule, trades in OUTCOMES.items():
+        arrival = next(i for i, m in enumerate(RULES[rule]) if m[0] == 4)
+        side = RULES[rule][arrival][2]
+        for k, price, before, most in trades:
+            buyer, seller = (4, k) if side == "B" else (k, 4)
+            parts.append(
+                f"SELECT rule, symbol, event_id, event_id * {BLOCK_SLOTS} + {arrival} AS seq, event_id * 10 + {buyer} AS buyer, event_id * 10 + {seller} AS seller, {price} AS price, "
+                f"least(big - ({before}), {most})::bigint AS quantity, '{side}' AS aggressor FROM block WHERE rule = {rule} AND big > {before}"
+            )
+    return f"WITH block AS ({base}) " + " UNION ALL ".join(parts)

@@ -212,7 +212,7 @@ def test_where_counts(spark, tmp_path):
     path = write(tmp_path, RECORDS)
     feed = open_feed(spark, path, where="series == 'EQ'", observe=True)
     assert feed.df.count() == 3 and feed.stats()["rows_filtered"] == 1
-    for where, n in (("series == 'BE' or series == 'EQ' and volume_original == 76", 2), ("(series == 'BE' or series == 'EQ') and volume_original == 76", 1), ("not (volume_disclosed > 0)", 4),
+    for where, n in (("symbol == 'BCG' or volume_original < 60 and series == 'EQ'", 2), ("(symbol == 'BCG' or volume_original < 60) and series == 'EQ'", 1), ("not (volume_disclosed > 0)", 4),
                      ("txn_time >= '09:00:00.12'", 4), ("txn_time < '09:00:00.12'", 0), ("symbol in ('M&M','BCG')", 2), ("symbol NOT IN ('M&M')", 3), ("volume_disclosed < volume_original", 4), ("ioc_flag == true", 0), ("ioc_flag != true", 4)):
         assert read_feed(spark, path, where=where).count() == n, where
 
