@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from typing import NamedTuple
 
 BUY, SELL = 0, 1
@@ -813,28 +813,36 @@ class SymbolReplay:
         self._next: int | None = None
         self._counted = (0,) * 6
 
-    def feed(self, ev: Event) -> Iterator[tuple | Fill]:
+    def feed(self, ev: Event) -> list[tuple | Fill]:
         """Read one event; gives the snapshots and trades that this settles."""
-        self.book.announce(ev)
-        ahead = self._ahead
+        if ev.activity == CANCEL:
+            self.book.announce(ev)
+        ahead, settled = self._ahead, []
         ahead.append(ev)
-        while ahead and (not self.lookahead or ahead[0].ts + self.lookahead < ev.ts):
-            yield from self._apply(ahead.popleft())
-
-    def finish(self) -> Iterator[tuple | Fill]:
+        if not self.lookahead:
+            self._apply(ahead.popleft(), settled)
+            return settled
+        known = ev.ts - self.lookahead
+        while ahead and ahead[0].ts < known:
+            self._apply(ahead.popleft(), settled)
+        return settled
+
+    def finish(self) -> list[tuple | Fill]:
         """The stream has ended: apply what is still held."""
+        settled: list[tuple | Fill] = []
         while self._ahead:
-            yield from self._apply(self._ahead.popleft())
+            self._apply(self._ahead.popleft(), settled)
+        return settled
 
-    def _apply(self, ev: Event) -> Iterator[tuple | Fill]:
+    def _apply(self, ev: Event, settled: list[tuple | Fill]) -> None:
         if self.interval is not None:
             if self._next is None:
                 self._next = first_boundary(ev.ts, self.interval)
             while ev.ts >= self._next:
-                yield self.snapshot(self._next)
+                settled.append(self.snapshot(self._next))
                 self._next += self.interval
         if self.book.apply(ev):
-            yield from self.book.fills
+            settled += self.book.fills
 
     def _counts(self) -> tuple[int, ...]:
         s = self.book.stats

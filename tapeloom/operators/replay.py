@@ -14,12 +14,13 @@ from collections.abc import Callable, Iterable, Iterator
 from datetime import date as Date
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.errors import FeedError
-from tapeloom.functions.values import micros_of_timestamp
+from tapeloom.functions.values import micros_of_timestamp, timestamp_of_micros
 from tapeloom.operators.book import BUY, COUNTERS, LOOKAHEAD, SELL, Event, Fill, SymbolReplay, snapshot_columns
+from tapeloom.shipping import ship
 from tapeloom.sources import storage
 from tapeloom.sources.feed import open_feed
 from tapeloom.sources.layouts import parse_date
@@ -31,6 +32,8 @@ FILL_SCHEMA = "symbol string, txn_time timestamp_ntz, trade_price bigint, trade_
 FILL_DETAIL = ", incoming_order bigint, resting_order bigint, from_hidden boolean"
 DEFAULT_LEVELS, DEFAULT_INTERVAL = 20, 1.0
 STEP_ROWS = 8192
+#: Counters of a book at the end of its session, where snapshots carry them.
+TALLY = {"_events": "bigint", "_fills": "bigint", "_replenishments": "bigint", "_crossed": "bigint"}
 
 
 def extract_events(orders: DataFrame, order_by: Column | str | None = None, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -40,6 +43,7 @@ def extract_events(orders: DataFrame, order_by: Column | str | None = None, key:
     and day; further key columns are joined to the symbol with a slash.
     """
     require_columns(orders)
+    ship(orders.sparkSession)
     seq = F.col("seq") if order_by is None else F.col(order_by) if isinstance(order_by, str) else order_by
     zero = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0))
     code = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(255))
@@ -72,7 +76,7 @@ def in_feed_order(events: DataFrame) -> DataFrame:
     return events.repartition("day", "symbol").sortWithinPartitions("day", "symbol", "seq")
 
 
-def _fold(start: Callable[[str], SymbolReplay], emit: Callable[[SymbolReplay, Iterator], list[tuple]], close: Callable[[SymbolReplay], list[tuple]], batch_of: Callable[[list[tuple], object], pa.RecordBatch]):
+def _fold(start: Callable[[str], SymbolReplay], emit: Callable[[SymbolReplay, list], list[tuple]], close: Callable[[SymbolReplay], list[tuple]], batch_of: Callable[[list[tuple], object], pa.RecordBatch]):
     """A function for ``mapInArrow`` over rows in feed order: a new replay at every change of (day, symbol)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +95,8 @@ def _fold(start: Callable[[str], SymbolReplay], emit: Callable[[SymbolReplay, It
                 if last is not None and q < last:
                     raise RuntimeError(f"events of {s} are out of order: {q} after {last}")
                 last = q
-                rows += emit(replay, replay.feed(ev))
+                if settled := replay.feed(ev):
+                    rows += emit(replay, settled)
                 if len(rows) >= STEP_ROWS:
                     yield batch_of(rows, d)
                     rows = []
@@ -126,9 +131,8 @@ def replay_fills(orders: DataFrame, previous_close: dict[str, int] | None = None
     schema = FILL_SCHEMA + FILL_DETAIL * detail
     names, kinds = _schema(schema)
 
-    def emit(replay: SymbolReplay, out: Iterator[Fill]) -> list[tuple]:
+    def emit(replay: SymbolReplay, fills: list[Fill]) -> list[tuple]:
         s = replay.book.symbol
-        fills = list(out)
         rows = [(s, f.ts, f.price, f.quantity, f.buy_order, f.sell_order, "B" if f.aggressor == BUY else "S") for f in fills]
         return [(*r, f.incoming, f.resting, f.from_hidden) for r, f in zip(rows, fills)] if detail else rows
 
@@ -136,19 +140,32 @@ def replay_fills(orders: DataFrame, previous_close: dict[str, int] | None = None
     return in_feed_order(extract_events(orders, order_by, key)).mapInArrow(run, schema)
 
 
-def replay_snapshots(orders: DataFrame, interval_secs: float = DEFAULT_INTERVAL, levels: int = DEFAULT_LEVELS, previous_close: dict[str, int] | None = None, lookahead: int = LOOKAHEAD, order_by: Column | str | None = None, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Book snapshots on clock boundaries, each the state before events at or after its time."""
+def replay_snapshots(orders: DataFrame, interval_secs: float = DEFAULT_INTERVAL, levels: int = DEFAULT_LEVELS, previous_close: dict[str, int] | None = None, lookahead: int = LOOKAHEAD, order_by: Column | str | None = None, key: tuple[str, ...] = ("symbol",), tally: bool = False) -> DataFrame:
+    """Book snapshots on clock boundaries, each the state before events at or after its time.
+
+    With ``tally`` one more row per book and day, all null but for the columns of ``TALLY``, has its counters.
+    """
     interval = interval_micros(interval_secs)
     if levels < 1:
         raise FeedError("levels must be at least 1")
     closes = previous_close or {}
-    cols = snapshot_columns(levels)
+    cols = snapshot_columns(levels) + [(n, k, True) for n, k in TALLY.items()] * tally
     names, kinds = [n for n, _, _ in cols], [_PA[k] for _, k, _ in cols]
+    fills: dict[int, int] = {}
+    blank = (None,) * len(TALLY) * tally
+
+    def emit(replay: SymbolReplay, out: list) -> list[tuple]:
+        shots = [x + blank for x in out if x.__class__ is tuple]
+        if tally:
+            fills[id(replay)] = fills.get(id(replay), 0) + len(out) - len(shots)
+        return shots
 
-    def emit(replay: SymbolReplay, out: Iterator) -> list[tuple]:
-        return [x for x in out if x.__class__ is tuple]
+    def close(replay: SymbolReplay) -> list[tuple]:
+        b = replay.book
+        end = (b.stats.events_applied, fills.pop(id(replay), 0), b.stats.replenishments, int(b.is_crossed()))
+        return [(None,) * (len(cols) - len(TALLY)) + end] if tally else []
 
-    run = _fold(lambda s: SymbolReplay(s, lookahead, closes.get(s), interval, levels), emit, lambda r: [], lambda rows, d: _arrow(rows, names, kinds))
+    run = _fold(lambda s: SymbolReplay(s, lookahead, closes.get(s), interval, levels), emit, close, lambda rows, d: _arrow(rows, names, kinds))
     return in_feed_order(extract_events(orders, order_by, key)).mapInArrow(run, ", ".join(f"{n} {k}" for n, k, _ in cols))
 
 
@@ -162,7 +179,7 @@ def replay_stats(orders: DataFrame, previous_close: dict[str, int] | None = None
     interval = None if interval_secs is None else interval_micros(interval_secs)
     seen: dict[int, list[int]] = {}
 
-    def emit(replay: SymbolReplay, out: Iterator) -> list[tuple]:
+    def emit(replay: SymbolReplay, out: list) -> list[tuple]:
         n = seen.setdefault(id(replay), [0, 0])
         for x in out:
             n[x.__class__ is tuple] += 1
@@ -229,23 +246,24 @@ def build_books(
     codec = compression_of(compression)
     orders, by, source = load_orders(spark, input, date, where, symbols, max_records)
     day = parse_date(date) if date is not None else _day_of_path(input)
-    stats = replay_stats(orders, previous_close, order_by=by, interval_secs=interval_secs)
-    snaps = replay_snapshots(orders, interval_secs, levels, previous_close, order_by=by)
+    read, done = Observation(), Observation()
+    orders = orders.observe(read, F.count(F.lit(1)).alias("rows"))
+    snaps = replay_snapshots(orders, interval_secs, levels, previous_close, order_by=by, tally=True)
+    # One fold gives the snapshots, and the counters on the way
+    sums = [F.sum(c).alias(c) for c in TALLY]
+    snaps = snaps.observe(done, *sums, F.count("_events").alias("books"), F.count("symbol").alias("snapshots")).where("_events is null").drop(*TALLY)
     root = f"{out.rstrip('/')}/segment=cm/kind=book_snapshots/date={day}"
     snaps.write.mode("overwrite").option("compression", codec).partitionBy("symbol").parquet(root)
-    total = stats.agg(
-        F.sum("events_applied"), F.count("*"), F.sum("snapshots"), F.sum("fills"), F.sum("replenishments"), F.count_if("crossed")
-    ).first()
-    events, n, shots, fills, refills, crossed = (int(x or 0) for x in total)
+    total = {k: int(v or 0) for k, v in done.get.items()}
     return {
         "source": source,
-        "rows_read": orders.count(),
-        "events_applied": events,
-        "symbols": n,
-        "snapshots": shots,
-        "fills_generated": fills,
-        "replenishments": refills,
-        "crossed_symbols": crossed,
+        "rows_read": int(read.get["rows"] or 0),
+        "events_applied": total["_events"],
+        "symbols": total["books"],
+        "snapshots": total["snapshots"],
+        "fills_generated": total["_fills"],
+        "replenishments": total["_replenishments"],
+        "crossed_symbols": total["_crossed"],
         "elapsed_secs": time.time() - began,
         "threads": threads or spark.sparkContext.defaultParallelism,
         "bytes_decompressed": 0,
@@ -325,19 +343,20 @@ def lockstep(events: list[Event], labelled: list[tuple], symbol: str = "", looka
 
 
 def diverging_events(orders: DataFrame, labels: DataFrame, order_by: Column | str | None = None) -> DataFrame:
-    """``lockstep`` for every symbol: ``labels`` has (symbol, kind, event_ts, aggressor, resting, price, quantity, trade_number)."""
+    """``lockstep`` for every day and symbol: ``labels`` has (symbol, kind, event_ts, aggressor, resting, price, quantity, trade_number)."""
     import pandas as pd
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("seq"), right.sort_values("trade_number")
         events = [Event._make(r) for r in left[list(EVENT_COLUMNS)].itertuples(index=False, name=None)]
         rows = right[["kind", "event_ts", "aggressor", "resting", "price", "quantity"]].itertuples(index=False, name=None)
-        out = pd.DataFrame(list(lockstep(events, [r for r in rows], key[0])), columns=[x.split()[0] for x in DIVERGENCE_SCHEMA.split(", ")])
+        out = pd.DataFrame(list(lockstep(events, [r for r in rows], key[1])), columns=[x.split()[0] for x in DIVERGENCE_SCHEMA.split(", ")])
         out["ts"] = pd.to_datetime(out["ts"], unit="us")
         return out
 
-    events = extract_events(orders, order_by).groupBy("symbol")
-    known = labels.where("kind = 'C'").groupBy("symbol")
+    events = extract_events(orders, order_by).groupBy("day", "symbol")
+    day = timestamp_of_micros(F.col("event_ts")).cast("date")
+    known = labels.where("kind = 'C'").withColumn("day", day).groupBy("day", "symbol")
     return events.cogroup(known).applyInPandas(run, DIVERGENCE_SCHEMA)
 
 

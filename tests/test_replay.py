@@ -193,3 +193,24 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(tuple(r) for r in spark.table("fills_out").collect()) == batch
+
+
+def test_sessions_are_kept_apart(spark):
+    """Two days of one security: two auctions, closing prices, comparisons and books."""
+    rows = [(d, "X", k, s, p, q, False, k) for d, p in (("2022-01-27", 100), ("2022-01-28", 200)) for k, s, q in ((1, "B", 5), (2, "S", 5))]
+    orders = spark.createDataFrame(rows, "day string, symbol string, order_number long, side string, price long, quantity long, market boolean, priority long")
+    by = ("day", "symbol")
+    assert sorted((r.day, r.price) for r in auction.auction_price(orders, by=by).collect()) == [("2022-01-27", 100), ("2022-01-28", 200)]
+    assert auction.auction_trades(orders, by=by).count() == 2 and auction.auction_leftovers(orders, by=by).count() == 0
+    cols = "day string, symbol string, txn_time timestamp_ntz, buy_order_number long, sell_order_number long, trade_price long, trade_quantity long, seq long"
+    fills = spark.createDataFrame([(str(t.date()), "X", t, 1, 2, p, 5, 1) for t, p in ((datetime(2022, 1, 27, 15, 10), 100), (datetime(2022, 1, 28, 15, 10), 200))], cols)
+    assert sorted(r.closing_price for r in auction.closing_price(fills, by).collect()) == [100, 200]
+    moved = fills.withColumn("day", F.lit("2022-01-27"))
+    assert [(r.day, r.trades, r.exact) for r in verify.verify(fills, moved, by=by).collect()] == [("2022-01-27", 1, 1), ("2022-01-28", 1, 0)]
+    day = random_orders(13, 80, symbols=("AAA",))
+    next_day = [(r[0] + 1000, r[1], r[2] + timedelta(days=1), *r[3:]) for r in day]
+    one, both = (spark.createDataFrame(x, SCHEMA) for x in (day, day + next_day))
+    a, b = replay.replay_fills(one, lookahead=0).collect(), replay.replay_fills(both, lookahead=0).collect()
+    assert len(b) == 2 * len(a) > 0
+    numbered = replay.replay_fills(both, lookahead=0).withColumn("trade_number", F.monotonically_increasing_id())
+    assert replay.diverging_events(both, labels.label_trades(numbered, both)).count() == 0
