@@ -17,32 +17,26 @@ from tapeloom.llm.util import staged
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
-    out = toxicity.with_toxicity(docs, table(spark, sf_dir, "labels"), categories(), reject="toxic")
-    return out.where("kept").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    out = toxicity.with_toxicity(rows, table(spark, sf_dir, "labels"), categories(), reject="toxic")
+    return out.where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each SimHash component.  Rows without an id stay."""
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"))
-    firsts = groups.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group: that with the smallest id, of those with one id that with the smallest text hash."""
+    return simhash.one_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a share of benchmark words that makes them contaminated."""
-    out = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return out.where("not contaminated").select(*docs.columns)
+    rows = docs.select("text", F.struct("*").alias("row"))
+    out = decontam.decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=["row"])
+    return out.where("not contaminated").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes; the one on a source's cut is taken whole."""
-    plan = mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0")
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies")
-    # Rows with one id are alike in the mix or mixed each on their own; the largest share stands for the id.
-    plan = plan.select(F.col("doc_id").alias("_id"), copies).groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,11 +16,12 @@ their spans are merged to removal spans per document.
 Documents never leave their task: there is no shuffle.  The benchmark side is a
 fixed query set that is read in blocks of ``block_bytes``; each block is
 broadcast and applied to every shard in turn, so a larger benchmark means more
-blocks, not larger ones.
+blocks, not larger ones.  With more than ``HELD_BLOCKS`` blocks a task drops each one after use and loads it
+again for its next shard, so its memory does not grow with the benchmark.
 
 Nulls: a null text has no words, a null item text gives no window; a null item_id
 is kept as an item of its own whose id is written as an empty string.  Equal
-items are counted apart.  A document without hits has the digest of the empty string.
+items are counted apart.  Kept columns with the name of a result are called ``<name>_in``.  A document without hits has the digest of the empty string.
 """
 
 from __future__ import annotations
@@ -34,11 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapeloom.llm.util import ranges, raw_texts, slices
+from tapeloom.llm.util import aside, ranges, raw_texts, slices
 
 WIDTH = 13
 SAMPLE = 8
+#: Blocks of the benchmark that a task keeps.
+HELD_BLOCKS = 4
 #: Lower-cases A-Z and turns every byte that is no word character into a space.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -302,11 +306,18 @@ def decontaminate(
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(p) for p in phrase_blocks(benchmark, item, item_text, block_bytes, width)]
     carried = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
-    kinds = ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    result = T.StructType.fromDDL(RESULT)
+    kinds = T.StructType([T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + result.fields)
+
+    def blocks() -> Iterator[Phrases]:
+        for b in shared:
+            yield b.value
+            if len(shared) > HELD_BLOCKS:
+                b.__dict__.pop("_value", None)
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         texts = [t for part in parts for t in raw_texts(part, "_text")]
-        rows = list(scan_shard(texts, (b.value for b in shared)))
+        rows = list(scan_shard(texts, blocks()))
         table = pa.Table.from_batches(parts).drop_columns(["_text"]).combine_chunks()
         hits = [sum(e - s for s, e in spans) for _, spans, _ in rows]
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -334,6 +345,6 @@ def decontaminate(
         if held:
             yield flush(held)
 
-    out = carried.mapInArrow(run, (kinds + ", " if kinds else "") + RESULT)
-    made = [x.split()[0] for x in RESULT.split(", ")]
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], *made)
+    out = carried.mapInArrow(run, kinds)
+    own = aside(docs.select(*keep), result.names).columns
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], *result.names)

@@ -134,10 +134,12 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, earlier: np.ndarray, y: np.nd
 def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text: str, targets: dict[str, Column], limit: int = MAX_LABELLED):
     """(ids, rows, dense, {target: 0/1}) of at most ``limit`` labelled documents, on the driver.
 
-    Labels with a null id or target are left out.
+    Labels with a null id or target are left out.  Of several labels of an id the smallest counts, target by
+    target; of several texts the smallest.
     """
-    chosen = labels.select(F.col(id_col).alias("_id"), *[t.cast("int").alias(f"_y{i}") for i, t in enumerate(targets.values())]).dropna()
-    chosen = chosen.orderBy(F.xxhash64(F.lit("fit"), "_id"), "_id").limit(limit)
+    names = [f"_y{i}" for i in range(len(targets))]
+    known = labels.select(F.col(id_col).alias("_id"), *[t.cast("int").alias(n) for n, t in zip(names, targets.values())]).dropna()
+    chosen = known.groupBy("_id").agg(*[F.min(n).alias(n) for n in names]).orderBy(F.xxhash64(F.lit("fit"), "_id"), "_id").limit(limit)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
@@ -148,6 +150,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text: str
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text"))
     matched = rows.join(F.broadcast(chosen.select("_id")), "_id", "left_semi")  # at most ``limit`` ids
+    matched = matched.groupBy("_id").agg(F.min("_text").alias("_text"))
     made = matched.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, words binary, dense array<double>")
     found = made.collect()
     truth = {r[0]: r[1:] for r in chosen.collect()}

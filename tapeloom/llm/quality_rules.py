@@ -3,7 +3,8 @@
 Everything is computed inside the row with built-in functions, so a document
 never leaves its task and nothing is shuffled.  A null or empty text has no
 words: all figures are zero, ``base_failed`` is true and ``kept`` false.
-Further columns of the input pass through ``with_quality`` untouched.
+Further columns of the input pass through ``with_quality``; one with the name of a figure or of a verdict
+is called ``<name>_in``.  Repeated rows get equal figures each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.util import WORD_GAP
+from tapeloom.llm.util import WORD_GAP, aside
 
 #: Function words of the corpus languages; a text of any length in one of them uses several.
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "a", "in", "that", "is", "was", "with", "for", "on", "this", "are", "as", "an", "at", "be"],
     "de": ["der", "die", "das", "und", "in", "zu", "den", "von", "mit", "für", "ist", "als", "dem", "auf", "ein", "eine"],
-    "fr": ["le", "la", "les", "de", "des", "et", "en", "un", "une", "du", "que", "pour", "est", "dans", "par", "sur", "oi", "au"],
+    "fr": ["le", "la", "les", "de", "des", "et", "en", "un", "une", "du", "que", "pour", "est", "dans", "par", "sur", "ou", "au"],
     "es": ["el", "la", "los", "las", "de", "y", "que", "en", "un", "una", "del", "con", "por", "para", "al", "se", "no", "su"],
 }
 
@@ -61,7 +62,7 @@ def _repeat_words() -> Column:
     return F.expr(
         """
         aggregate(
-          transform(_rep, (p, i) -> if(i = 0, 3, least(3, p - _rep[i - 1]))),
+          transform(_quality_rep, (p, i) -> if(i = 0, 3, least(3, p - _quality_rep[i - 1]))),
           0L, (acc, x) -> acc + x)
         """
     )
@@ -70,23 +71,23 @@ def _repeat_words() -> Column:
 def _pieces(df: DataFrame, text: str) -> DataFrame:
     """The arrays that several metrics share, each made once."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_w", _words(t)).withColumn("_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn("_quality_w", _words(t)).withColumn("_quality_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn(
-        "_g",
+        "_quality_g",
         F.expr(
             """
-            if(size(_w) < 3, array(),
-               sort_array(transform(sequence(0, size(_w) - 3), i ->
-                 named_struct('h', xxhash64(_w[i], _w[i + 1], _w[i + 2]), 'a', _w[i], 'b', _w[i + 1], 'c', _w[i + 2], 'p', i))))
+            if(size(_quality_w) < 3, array(),
+               sort_array(transform(sequence(0, size(_quality_w) - 3), i ->
+                 named_struct('h', xxhash64(_quality_w[i], _quality_w[i + 1], _quality_w[i + 2]), 'a', _quality_w[i], 'b', _quality_w[i + 1], 'c', _quality_w[i + 2], 'p', i))))
             """
         ),
     )
-    same = "x.h = get(_g, {o}).h and x.a = get(_g, {o}).a and x.b = get(_g, {o}).b and x.c = get(_g, {o}).c"
+    same = "x.h = get(_quality_g, {o}).h and x.a = get(_quality_g, {o}).a and x.b = get(_quality_g, {o}).b and x.c = get(_quality_g, {o}).c"
     return df.withColumn(
-        "_rep",
+        "_quality_rep",
         F.expr(
             f"""
-            sort_array(transform(filter(transform(_g, (x, i) ->
+            sort_array(transform(filter(transform(_quality_g, (x, i) ->
                 if(coalesce({same.format(o="i - 1")}, false) or coalesce({same.format(o="i + 1")}, false), x.p, -1)),
               p -> p >= 0), p -> p))
             """
@@ -97,25 +98,25 @@ def _pieces(df: DataFrame, text: str) -> DataFrame:
 def metrics(text: str = "text") -> dict[str, Column]:
     """The base figures and ratios over the arrays of ``_pieces``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    n_words = F.size("_w").cast("long")
-    n_lines = F.greatest(F.size("_l"), F.lit(1))
+    n_words = F.size("_quality_w").cast("long")
+    n_lines = F.greatest(F.size("_quality_l"), F.lit(1))
     per_word = lambda x: x / F.greatest(n_words, F.lit(1))
-    joined = F.array_join("_w", "")
+    joined = F.array_join("_quality_w", "")
     stop = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws})])
     letters = F.length(F.regexp_replace(joined, r"\P{L}+", ""))
     return {
         "n_words": n_words,
         "word_chars": F.length(joined).cast("long"),
         "n_symbols": (F.octet_length(t) - F.octet_length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+        "n_dup_lines": (F.size("_quality_l") - F.size(F.array_distinct("_quality_l"))).cast("long"),
         "n_repeat_words": _repeat_words(),
         "mean_word_length": per_word(F.length(joined)),
         "symbols_per_word": per_word(F.octet_length(t) - F.octet_length(F.regexp_replace(t, r"[#*$%&|<>]", ""))),
         "stop_word_ratio": per_word(F.size(F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: F.array_contains(stop, w)))),
-        "dup_line_ratio": (F.size("_l") - F.size(F.array_distinct("_l"))) / n_lines,
-        "ellipsis_line_ratio": F.size(F.filter("_l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) / n_lines,
-        "bullet_line_ratio": F.size(F.filter("_l", lambda x: x.rlike(r"^\s*[-*•‣]"))) / n_lines,
-        "alpha_word_ratio": per_word(F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}")))),
+        "dup_line_ratio": (F.size("_quality_l") - F.size(F.array_distinct("_quality_l"))) / n_lines,
+        "ellipsis_line_ratio": F.size(F.filter("_quality_l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) / n_lines,
+        "bullet_line_ratio": F.size(F.filter("_quality_l", lambda x: x.rlike(r"^\s*[-*•‣]"))) / n_lines,
+        "alpha_word_ratio": per_word(F.size(F.filter("_quality_w", lambda w: w.rlike(r"\p{L}")))),
         "upper_ratio": F.length(F.regexp_replace(joined, r"\P{Lu}+", "")) / F.greatest(letters, F.lit(1)),
     }
 
@@ -132,20 +133,19 @@ def compile_rules(rules: Sequence[Rule]) -> Column:
 
 
 def with_quality(df: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
-    """``df`` with every figure, ``base_failed``, ``failed_rules`` and ``kept``.
-
-    Columns of the input that have the name of a figure are replaced.
-    """
-    made = metrics(text)
-    out = _pieces(df, text).withColumns(made).drop("_w", "_l", "_g", "_rep")
+    """``df`` with every figure, ``base_failed``, ``failed_rules`` and ``kept``."""
+    source = df.select(F.struct("*").alias("_quality_row"), F.col(text).cast("string").alias("_quality_text"))
+    made = metrics("_quality_text")
+    out = _pieces(source, "_quality_text").withColumns(made).drop("_quality_w", "_quality_l", "_quality_g", "_quality_rep")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     names = [
         F.when(~F.coalesce(compile_rules([r]), F.lit(False)), F.lit(r.name)) for r in rules
     ]
-    return out.withColumns(
-        {
-            "base_failed": base,
-            "failed_rules": F.array_compact(F.array(*names)) if names else F.array().cast("array<string>"),
-            "kept": ~base & compile_rules(rules),
-        }
-    )
+    verdicts = {
+        "base_failed": base,
+        "failed_rules": F.array_compact(F.array(*names)) if names else F.array().cast("array<string>"),
+        "kept": ~base & compile_rules(rules),
+    }
+    own = aside(df, [*made, *verdicts]).columns
+    given = [F.col("_quality_row").getField(c).alias(n) for c, n in zip(df.columns, own)]
+    return out.select(*given, *made, *[x.alias(n) for n, x in verdicts.items()])

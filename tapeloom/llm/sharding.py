@@ -4,14 +4,16 @@
    drawn when its hash-uniform number is below ``size * sample / total``, so the
    sample is reproducible and about ``sample`` rows long at any input size.
 2. Every ``sample / ranges``-th key of the sorted sample is a splitter; ranges hold near equal bytes.
-   The second key part subdivides a range that one hot text would overfill.
+   The second key part subdivides a range that one hot text would overfill.  Ranges that hold over twice their
+   share all the same are subdivided by a sample of their own, until none is left that can be.
 3. Inside each range a running sum of bytes in key order, plus the exact bytes
    of the ranges before it, gives each row its place in the whole order; shard
    borders are cut at equal shares of the total, so shards differ by about one
    document however the sample fell.
 
 Equal texts have one key and so lie side by side: they share a shard unless
-their group crosses a border.  Only narrow rows (key, id, size) are sorted and
+their group crosses a border (shards of near equal bytes come first).  Rows equal in text and id are counted and placed as one, however
+many they are, and take their places one after another.  Only narrow rows (key, id, size) are sorted and
 shuffled.  DataFrame functions only.
 
 Nulls: a null text has no bytes and CRC 0; a null doc_id sorts first.  Rows
@@ -30,6 +32,8 @@ from tapeloom.llm.util import shuffle_partitions, staged
 
 #: Fixed part of a record's size, for its id.
 ID_BYTES = 8
+#: Times that overfull ranges are subdivided at most.
+SUBDIVISIONS = 4
 
 
 def _last_splitter(keys: list[int], ids: list[int]) -> Column:
@@ -68,29 +72,47 @@ def assign_shards(
     spark = df.sparkSession
     ranges = ranges or max(4 * n_shards, shuffle_partitions(spark))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    narrow = staged(
-        df.select(
-            F.col(id_col).cast("long").alias("_doc"),
-            F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"),
-            F.xxhash64(F.col(text)).alias("_key"),
-            (F.octet_length(raw) + ID_BYTES).cast("long").alias("_size"),
-            F.crc32(raw).alias("_crc"),
-        ),
-        "shard-keys",
+    rows = df.select(
+        F.col(id_col).cast("long").alias("_doc"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"),
+        F.xxhash64(F.col(text)).alias("_key"),
+        (F.octet_length(raw) + ID_BYTES).cast("long").alias("_one"),
+        F.crc32(raw).alias("_crc"),
     )
+    counted = rows.groupBy("_doc", "_id", "_key", "_one", "_crc").agg(F.count("*").alias("_rows"))
+    narrow = staged(counted.withColumn("_size", F.col("_one") * F.col("_rows")), "shard-keys")
     total = narrow.agg(F.sum("_size")).first()[0] or 0
     m = ranges * oversample
-    # 53 random bits in [0, 1): a weighted Bernoulli draw; rows over total / m are always drawn, and there are at most m of those
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "_key", "_id"), 11) / F.lit(float(1 << 53))
-    drawn = narrow.where(u * total < F.col("_size").cast("double") * m).select("_key", "_id").distinct()
-    keys = sorted((r[0], r[1]) for r in drawn.collect())
-    step = max(1, len(keys) // ranges)
-    cuts = sorted(set(keys[step::step]))
-    ranged = narrow.withColumn("_range", _last_splitter([k for k, _ in cuts], [i for _, i in cuts]))
+
+    def drawn(rows: DataFrame, size: int, count: int, turn: int) -> list[tuple[int, int]]:
+        """About ``count`` keys by size: 53 random bits in [0, 1); rows over size / count are always drawn, and there are at most ``count`` of those."""
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(f"draw {turn}"), "_key", "_id"), 11) / F.lit(float(1 << 53))
+        return sorted((r[0], r[1]) for r in rows.where(u * size < F.col("_size").cast("double") * count).select("_key", "_id").distinct().collect())
+
+    keys = drawn(narrow, total, m, 0)
+    cuts = sorted(set(keys[max(1, len(keys) // ranges) :: max(1, len(keys) // ranges)]))
+    place = lambda: _last_splitter([k for k, _ in cuts], [i for _, i in cuts])
+    for turn in range(1, SUBDIVISIONS + 1):
+        # At most len(cuts) + 1 rows
+        held = narrow.withColumn("_range", place()).groupBy("_range").agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()
+        over = {r["_range"]: r["s"] for r in held if r["n"] > 1 and r["s"] > 2 * total / ranges}
+        if not over:
+            break
+        size = sum(over.values())
+        parts = max(2, -(-size * ranges // max(total, 1)))
+        inside = narrow.withColumn("_range", place()).where(F.col("_range").isin(list(over)))
+        found = drawn(inside, size, parts * oversample, turn)
+        step = max(1, len(found) // parts)
+        new = set(found[step::step]) - set(cuts)
+        if not new:
+            break
+        cuts = sorted({*cuts, *new})
+    ranges = max(ranges, len(cuts) + 1)
+    ranged = narrow.withColumn("_range", place())
     ranged = ranged.repartition(max(ranges, shuffle_partitions(spark)), "_range")
 
     # Range totals: one row per range, so at most ranges + 1 rows; their running sum is a small ordered window.
-    sums = narrow.withColumn("_range", _last_splitter([k for k, _ in cuts], [i for _, i in cuts]))
+    sums = narrow.withColumn("_range", place())
     sums = sums.groupBy("_range").agg(F.sum("_size").alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
@@ -98,15 +120,16 @@ def assign_shards(
     placed = (
         ranged.withColumn("_in", F.coalesce(F.sum("_size").over(in_order), F.lit(0)))
         .join(F.broadcast(offsets), "_range")  # at most ranges + 1 rows
-        .withColumn("_start", F.col("_before") + F.col("_in"))
+        .withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)))
+        .withColumn("_start", F.col("_before") + F.col("_in") + F.col("_row") * F.col("_one"))
         .withColumn("shard", F.least(F.expr(f"_start * {n_shards}L div {max(total, 1)}L"), F.lit(n_shards - 1)).cast("int"))
     )
-    placed = staged(placed.select("_range", "_doc", "_key", "_id", "_size", "_crc", "_start", "shard"), "shard-places")
+    placed = staged(placed.select("_range", "_doc", F.col("_one").alias("_size"), "_crc", "_start", "shard"), "shard-places")
     # A range meets few shards; (range, shard) pairs number at most ranges + shards.
     pieces = placed.groupBy("shard", "_range").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     first = pieces.select("shard", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
-    rank = Window.partitionBy("_range", "shard").orderBy("_start", "_key", "_id")
+    rank = Window.partitionBy("_range", "shard").orderBy("_start")
     return (
         placed.withColumn("_rank", F.row_number().over(rank))
         .join(F.broadcast(first), ["_range", "shard"])  # at most ranges + shards rows

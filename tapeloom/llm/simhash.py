@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.llm.components import connected_components
 from tapeloom.llm.util import raw_texts, slices, staged
@@ -72,6 +73,28 @@ def fingerprints(texts: list[bytes | None], width: int = 3, seed: int = SEED) ->
     return out
 
 
+#: Bits of a wide fingerprint, words of 64.
+WIDE_WORDS = 4
+_SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def wide_fingerprints(texts: list[bytes | None], width: int = 5, seed: int = SEED) -> np.ndarray:
+    """256 bits per text as four uint64, by majority over the shingle hashes, each spread to four words."""
+    out = np.zeros((len(texts), WIDE_WORDS), np.uint64)
+    for i, text in enumerate(texts):
+        hashes = np.array(shingle_hashes(text, width, seed), np.uint64)
+        ones = np.zeros(64 * WIDE_WORDS, np.int64)
+        for at in range(0, len(hashes), 2048):
+            x = hashes[at : at + 2048, None] * _SPREAD
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        if len(hashes):
+            out[i] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+    return out
+
+
 def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, seed: int = SEED) -> DataFrame:
     """(doc, fp): the fingerprint as a signed long."""
 
@@ -118,7 +141,9 @@ def _replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= threshold
+    """Whether fingerprints, of one word or of several in a row, differ in ``threshold`` bits at most."""
+    bits = np.bitwise_count((a ^ b).view(np.uint64))
+    return (bits if a.ndim < 2 else bits.sum(axis=1, dtype=np.int64)) <= threshold
 
 
 def _forest(fp: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
@@ -130,7 +155,7 @@ def _forest(fp: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[list[int],
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = near(fp[left], fp[x], threshold)
+            hit = near(fp[left], fp[x : x + 1] if fp.ndim > 1 else fp[x], threshold)
             found = left[hit]
             left = left[~hit]
             a += [int(rep[x])] * len(found)
@@ -161,24 +186,27 @@ def links_of_groups(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, thresho
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
-def _compare(threshold: int):
+def _compare(threshold: int, fps: tuple[str, ...] = ("fp",)):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; the last anchor of a batch is carried to the next."""
-        tail = None
+        held: list[list[np.ndarray]] = []
+
+        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = links_of_groups(*cols, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("anchor", "fp", "rep")]
-            if tail is not None:
-                cols = [np.concatenate(x) for x in zip(tail, cols)]
+            words = [batch.column(c).to_numpy() for c in fps]
+            cols = [batch.column("anchor").to_numpy(), words[0] if len(words) == 1 else np.column_stack(words), batch.column("rep").to_numpy()]
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            tail = [c[cut:] for c in cols]
-            if cut:
-                a, b = links_of_groups(*(c[:cut] for c in cols), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if tail is not None and len(tail[0]):
-            a, b = links_of_groups(*tail, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if cut or (held and held[-1][0][-1] != cols[0][0]):
+                yield out([np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols])])
+                held = []
+            held.append([c[cut:] for c in cols])
+        if held:
+            yield out([np.concatenate(x) for x in zip(*held)])
 
     return run
 
@@ -203,3 +231,76 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     """(id, fingerprint as 16 hex digits, component_id) of every row."""
     out = near_components(with_fingerprints(df, id_col, text, width), threshold)
     return out.select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# -- copies of a given similarity ----------------------------------------------------------------
+
+WORDS = tuple(f"f{k}" for k in range(WIDE_WORDS))
+#: Pieces that are drawn from a wide fingerprint: two blocks of 15 bits each, the length of a perfect Hamming code.
+PIECES, BLOCK = 64, 15
+_DRAWN = np.random.Generator(np.random.PCG64(5_031)).permuted(np.tile(np.arange(64 * WIDE_WORDS), (PIECES, 1)), axis=1)[:, : 2 * BLOCK]
+
+
+def differing_bits(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
+    """Bits in which fingerprints of texts of this Jaccard similarity differ on average: the angle between their shingle vectors."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def nearest_anchors(piece: np.ndarray) -> np.ndarray:
+    """Both blocks of each piece moved to the one Hamming code word within 1 bit."""
+    for at in (0, BLOCK):
+        s = np.zeros(piece.shape, np.int64)
+        for b in range(BLOCK):
+            s ^= ((piece >> (at + b)) & 1) * (b + 1)
+        piece = piece ^ np.where(s > 0, np.int64(1) << np.maximum(at + s - 1, 0), 0)
+    return piece
+
+
+def _to_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    weights = np.int64(1) << np.arange(2 * BLOCK, dtype=np.int64)
+    for batch in batches:
+        words, rep = np.column_stack([batch.column(c).to_numpy() for c in WORDS]), batch.column("rep").to_numpy()
+        for at in range(0, len(rep), 2048):
+            w, r = words[at : at + 2048], rep[at : at + 2048]
+            bits = np.unpackbits(np.ascontiguousarray(w).view(np.uint8), axis=1, bitorder="little")
+            for lo in range(0, PIECES, 8):
+                some = np.arange(lo, lo + 8)
+                anchor = nearest_anchors(bits[:, _DRAWN[some]] @ weights) | (some << 2 * BLOCK)
+                row = np.repeat(np.arange(len(r)), len(some))
+                cols = [anchor.ravel(), *(w[row, k] for k in range(WIDE_WORDS)), r[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", *WORDS, "rep"])
+
+
+def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of copies, whatever the columns of ``df``: that with the smallest id, then text hash; rows without an id last.
+
+    Rows are linked if their fingerprints of 256 bits over ``width``-word shingles differ in no more bits than texts of the given
+    similarity do on average.  Two bits cannot cover that, so anchors are taken more often: of ``PIECES`` drawings of 30 bits
+    each goes to its nearest anchor, a pair of Hamming code words (radius 1 in either block); members of an anchor are compared in all 256 bits.
+    Equal texts always meet; others meet in one of the pieces with a chance that grows with their similarity (README).
+    Groups are all that links reach.  Nulls and texts without words are copies of each other; an empty table gives no rows.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t", 4 << 20):
+                fp = wide_fingerprints(raw_texts(part, "t"), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), *(pa.array(fp[:, k].copy()) for k in range(WIDE_WORDS))], names=["i", "h", *WORDS])
+
+    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
+    words = ", ".join(f"{w} long" for w in WORDS)
+    fps = keyed.select("i", "h", "t").mapInArrow(run, T.StructType([keyed.schema["i"], keyed.schema["h"]] + T.StructType.fromDDL(words).fields))
+    texts = fps.groupBy(*WORDS, "i", "h").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("i").isNull().alias("last"), "i", "h", "n")).alias("best")
+    classes = staged(texts.groupBy(*WORDS).agg(best).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    copies = classes.select(*WORDS, "rep").mapInArrow(_to_pieces, f"anchor long, {words}, rep long")
+    compare = _compare(differing_bits(similarity), WORDS)
+    links = copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    comps = connected_components(links)
+    group = classes.join(comps, classes.rep == comps.node, "left").groupBy(F.coalesce("component", "rep").alias("group"))
+    winners = staged(group.agg(F.min("best").alias("best")).select("best.i", "best.h", "best.n"), "winners")
+    chosen = lambda w: keyed.alias("d").join(w.alias("w"), F.col("d.i").eqNullSafe(F.col("w.i")) & (F.col("d.h") == F.col("w.h")), "left_semi")
+    out = chosen(winners.where("n = 1")).select("row.*")
+    if winners.where("n > 1").limit(1).count():  # rows equal in id and text: any of them stands for all
+        out = out.unionByName(chosen(winners.where("n > 1")).dropDuplicates(["i", "h"]).select("row.*"))
+    return out

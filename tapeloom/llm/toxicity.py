@@ -7,7 +7,8 @@ will be on new text.
 
 Models are fitted on at most ``max_labelled`` labelled rows.  A null or empty text
 has the base probability.  Without labels, or with labels of one class only, every text has the
-(smoothed) base rate.  Further columns pass through ``with_toxicity``.
+(smoothed) base rate.  Further columns pass through ``with_toxicity``; one with the name of a result is
+called ``<name>_in``.  Repeated rows are scored each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.llm.linear_text import MAX_LABELLED, Logistic, _Ids, featurise, fit, folds_of, labelled_features, predict, sigmoid
-from tapeloom.llm.util import raw_texts, slices
+from tapeloom.llm.util import aside, raw_texts, slices
 
 FOLDS = 4
 THRESHOLD = 0.5
@@ -82,9 +84,9 @@ def with_toxicity(
                 rest = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, pa.float64()) for c in zip(*p))], names=[*(f"_c{i}" for i in range(len(rest))), *(f"_p{i}" for i in range(len(names)))])
 
-    cols = [c for c in docs.columns if c not in {"toxic", "kept", *(f"p_{n}" for n in names)}]
-    carried = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)], F.col(text).cast("string").alias("_text"))
-    kinds = [f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols)] + [f"_p{i} double" for i in range(len(names))]
-    out = carried.mapInArrow(run, ", ".join(kinds))
-    made = out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], *[F.col(f"_p{i}").alias(f"p_{n}") for i, n in enumerate(names)])
+    own = aside(docs, [*(f"p_{n}" for n in names), "toxic", "kept"]).columns
+    carried = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(text).cast("string").alias("_text"))
+    kinds = T.StructType([T.StructField(f"_c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [T.StructField(f"_p{i}", T.DoubleType()) for i in range(len(names))])
+    out = carried.mapInArrow(run, kinds)
+    made = out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], *[F.col(f"_p{i}").alias(f"p_{n}") for i, n in enumerate(names)])
     return made.withColumn("toxic", F.col(f"p_{reject}") >= threshold).withColumn("kept", ~F.col("toxic"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` with columns that have one of the names called ``<name>_in``, or longer where that is taken too."""
+    taken, renamed = {*df.columns, *names}, {}
+    for c in df.columns:
+        if c in names:
+            new = c + "_in"
+            while new in taken:
+                new += "_in"
+            taken.add(new)
+            renamed[c] = new
+    return df.withColumnsRenamed(renamed) if renamed else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

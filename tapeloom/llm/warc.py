@@ -17,7 +17,7 @@ SHA-256 and length.
 
 Nulls: a null payload is empty; a null id is written without a row key and is a
 response if its payload has no row with an id.  Rows that repeat the smallest id are
-all responses.  A null URL becomes ``urn:row``.  An empty table writes no
+all responses.  Only the key, the URL and the payload are read, so further columns may have any name.  A null URL becomes ``urn:row``.  An empty table writes no
 archive and reads back no rows.
 """
 
@@ -168,12 +168,12 @@ def write_archives(
     level: int = 3,
 ) -> None:
     """Write one archive per partition of the deduplicated rows to ``path``."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, df.select(key, url, payload)
     clean = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     # First the keys, then only their payloads: tasks send the driver a few small rows each
     drawn = df.select(F.xxhash64(F.lit("train"), key).alias("_h"), F.col(key).alias("_drawn")).orderBy("_h", "_drawn").limit(TRAIN_RECORDS)
     rows = df.join(F.broadcast(drawn.select("_drawn").distinct()), F.col(key).eqNullSafe(F.col("_drawn")), "left_semi")  # at most TRAIN_RECORDS keys
-    sample = rows.select(F.col(key).cast("long").alias("_k"), F.col(url).alias("_u"), F.substring(clean, 1, TRAIN_BYTES).alias("_p")).limit(TRAIN_RECORDS).collect()
+    sample = rows.select(F.col(key).cast("long").alias("_k"), F.col(url).alias("_u"), F.substring(clean, 1, TRAIN_BYTES).alias("_p")).orderBy(F.xxhash64("_k"), "_k", "_u", "_p").limit(TRAIN_RECORDS).collect()
     sample.sort(key=lambda r: (r["_k"] is not None, r["_k"] or 0, bytes(r["_p"])))
     data = train_dictionary([make_record(r["_k"], r["_u"], bytes(r["_p"]), None, date) for r in sample])
     shared = spark.sparkContext.broadcast(data)  # at most DICT_BYTES
