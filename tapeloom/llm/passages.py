@@ -49,7 +49,7 @@ from tapeloom.llm.util import bucket_count, ranges, raw_texts, shuffle_partition
 SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 46, 4, 1, 0.8
 REDUCE_BYTES = 24 << 20
 #: Windows verified at once, whole keys, and parts of their runs that are sorted at once.
-VERIFY_ROWS, MAX_PARTS = 8_192, 1 << 23
+VERIFY_ROWS, MAX_PARTS = 4_096, 1 << 20
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NO_ID = -(2**63)
@@ -62,7 +62,7 @@ class _WordHash(dict):
     """Hash of each word; forgets all when it has grown large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         self[w] = x = xxhash.xxh64_intdigest(w, 5)
         return x
@@ -421,14 +421,14 @@ def _runs_of(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, of: np.ndarray, pa
     every = int(of.max()) + 1
     pair, which = np.unique(row * every + of, return_inverse=True)
     parts = []
-    for at in range(0, len(pair), 1 << 18):
-        n = min(1 << 18, len(pair) - at)
+    for at in range(0, len(pair), 1 << 15):
+        n = min(1 << 15, len(pair) - at)
         mine = (which >= at) & (which < at + n) if len(pair) > n else slice(None)
         edge = np.zeros(n * (passage + 2), np.int32)
         base = (which[mine] - at) * (passage + 2)
         np.add.at(edge, base + lo[mine] + 1, 1)
         np.add.at(edge, base + hi[mine] + 1, -1)
-        on = (np.cumsum(edge.reshape(n, -1), axis=1) > 0).astype(np.int8)
+        on = (np.cumsum(edge.reshape(n, -1), axis=1, dtype=np.int32) > 0).astype(np.int8)
         step = np.diff(on, axis=1)
         who, begin = np.nonzero(step == 1)
         stop = np.nonzero(step == -1)[1]
