@@ -74,12 +74,13 @@ def fingerprints(texts: list[bytes | None], width: int = 3, seed: int = SEED) ->
 
 
 #: Bits of a wide fingerprint, words of 64.
-WIDE_WORDS = 4
-_SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+WIDE_WORDS = 8
+#: Odd multiples of the golden ratio's 64 bits: one multiplier a word.
+_SPREAD = np.arange(1, 2 * WIDE_WORDS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def wide_fingerprints(texts: list[bytes | None], width: int = 5, seed: int = SEED) -> np.ndarray:
-    """256 bits per text as four uint64, by majority over the shingle hashes, each spread to four words."""
+    """512 bits per text as eight uint64, by majority over the shingle hashes, each spread to eight words."""
     out = np.zeros((len(texts), WIDE_WORDS), np.uint64)
     for i, text in enumerate(texts):
         hashes = np.array(shingle_hashes(text, width, seed), np.uint64)
@@ -237,13 +238,17 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
 
 WORDS = tuple(f"f{k}" for k in range(WIDE_WORDS))
 #: Pieces that are drawn from a wide fingerprint: two blocks of 15 bits each, the length of a perfect Hamming code.
-PIECES, BLOCK = 64, 15
+PIECES, BLOCK = 96, 15
 _DRAWN = np.random.Generator(np.random.PCG64(5_031)).permuted(np.tile(np.arange(64 * WIDE_WORDS), (PIECES, 1)), axis=1)[:, : 2 * BLOCK]
 
 
 def differing_bits(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
-    """Bits in which fingerprints of texts of this Jaccard similarity differ on average: the angle between their shingle vectors."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Bits in which five of six pairs of texts of this Jaccard similarity differ at most.
+
+    A bit differs with the angle between the shingle vectors; one standard deviation is added to the mean.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
 def nearest_anchors(piece: np.ndarray) -> np.ndarray:
@@ -274,9 +279,9 @@ def _to_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of copies, whatever the columns of ``df``: that with the smallest id, then text hash; rows without an id last.
 
-    Rows are linked if their fingerprints of 256 bits over ``width``-word shingles differ in no more bits than texts of the given
-    similarity do on average.  Two bits cannot cover that, so anchors are taken more often: of ``PIECES`` drawings of 30 bits
-    each goes to its nearest anchor, a pair of Hamming code words (radius 1 in either block); members of an anchor are compared in all 256 bits.
+    Rows are linked if their fingerprints of 512 bits over ``width``-word shingles differ in no more bits than five of six pairs of the
+    given similarity do; some pairs a little below it are linked too (README).  Two bits cannot cover that, so anchors are taken more often: of ``PIECES`` drawings of 30 bits
+    each goes to its nearest anchor, a pair of Hamming code words (radius 1 in either block); members of an anchor are compared in all 512 bits.
     Equal texts always meet; others meet in one of the pieces with a chance that grows with their similarity (README).
     Groups are all that links reach.  Nulls and texts without words are copies of each other; an empty table gives no rows.
     """
