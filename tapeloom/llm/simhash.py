@@ -10,8 +10,8 @@ anchor within radius plus threshold (16 of 2**26 anchors a half, 1 if it is an a
 itself) and compared there.  Nothing is lost and no bucket is capped.
 
 Equal fingerprints are one class before any copying.  At an anchor, members are
-compared in blocks and only a spanning forest of the links leaves the task, so
-large groups of near copies do not give all pairs.  Links of classes are joined
+compared in blocks and only one link of each to the smallest it reaches there
+leaves the task, so large groups of near copies do not give all pairs.  Links of classes are joined
 to components by ``connected_components``.
 
 Nulls and texts without words have fingerprint zero and are linked like any
@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,7 @@ SEED = 42
 THRESHOLD = 2
 HALF = 31
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Members of one anchor beyond which a spanning forest is made by blocks.
+#: Members of one anchor beyond which links are followed breadth-first.
 SMALL = 24
 #: Ids from here on stand for classes without an id.
 NO_ID = 1 << 62
@@ -147,49 +147,68 @@ def near(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
     return (bits if a.ndim < 2 else bits.sum(axis=1, dtype=np.int64)) <= threshold
 
 
-def _forest(fp: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among many members: breadth-first, each step one vector comparison."""
+def _stars(fp: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
+    """(first, other) of the groups among many members that links join: breadth-first, each step one vector comparison."""
     left = np.arange(len(fp))
     a: list[int] = []
     b: list[int] = []
     while len(left):
         queue, left = [left[0]], left[1:]
+        root = int(rep[queue[0]])
         while queue and len(left):
             x = queue.pop()
             hit = near(fp[left], fp[x : x + 1] if fp.ndim > 1 else fp[x], threshold)
             found = left[hit]
             left = left[~hit]
-            a += [int(rep[x])] * len(found)
+            a += [root] * len(found)
             b += rep[found].tolist()
             queue += found.tolist()
     return a, b
 
 
+def _smallest_reached(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest that the links (x, y) reach, in vector steps."""
+    lab = np.arange(n)
+    while len(x):
+        new = lab.copy()
+        low = np.minimum(lab[x], lab[y])
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == lab).all():
+            break
+        lab = new
+    return lab
+
+
 def links_of_groups(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the members of each anchor; rows come sorted by anchor."""
+    """Links of the members of each anchor to the smallest they reach there; rows come sorted by anchor and rep."""
     start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     size = np.diff(np.append(start, len(anchor)))
-    a, b = [], []
     small = np.repeat((size > 1) & (size <= SMALL), size)
     x = np.flatnonzero(small)
+    one, two = [x[:0]], [x[:0]]
     for o in range(1, SMALL):
         x = x[x + o < len(anchor)]
         x = x[anchor[x] == anchor[x + o]]
         if not len(x):
             break
         hit = x[near(fp[x], fp[x + o], threshold)]
-        a.append(rep[hit])
-        b.append(rep[hit + o])
+        one.append(hit)
+        two.append(hit + o)
+    lab = _smallest_reached(len(anchor), np.concatenate(one), np.concatenate(two))
+    moved = np.flatnonzero(lab != np.arange(len(anchor)))
+    a, b = [rep[lab[moved]]], [rep[moved]]
     for s, n in zip(start[size > SMALL], size[size > SMALL]):
-        p, q = _forest(fp[s : s + n], rep[s : s + n], threshold)
+        p, q = _stars(fp[s : s + n], rep[s : s + n], threshold)
         a.append(np.array(p, np.int64))
         b.append(np.array(q, np.int64))
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _compare(threshold: int, fps: tuple[str, ...] = ("fp",)):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; the last anchor of a batch is carried to the next."""
+        """Rows come sorted by anchor and rep; the last anchor of a batch is carried to the next."""
         held: list[list[np.ndarray]] = []
 
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -212,6 +231,17 @@ def _compare(threshold: int, fps: tuple[str, ...] = ("fp",)):
     return run
 
 
+def _joined(copies: DataFrame, threshold: int, fps: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(node, component) over the copies at all anchors.
+
+    A node has one link to a smaller one an anchor at most, so the window holds a few dozen rows: it leaves each node its
+    smallest neighbour and ties the other neighbours, which many nodes share, to that one.
+    """
+    links = copies.repartition("anchor").sortWithinPartitions("anchor", "rep").mapInArrow(_compare(threshold, fps), "a long, b long")
+    links = links.distinct().withColumn("low", F.min("a").over(Window.partitionBy("b")))
+    return connected_components(links.select(F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b")))
+
+
 def near_components(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc, fp, component): ``fps`` is (doc, fp); component is the smallest doc reachable over links."""
     if threshold > THRESHOLD:
@@ -221,8 +251,7 @@ def near_components(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     stand_in = F.xxhash64("fp").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
     classes = staged(fps.groupBy("fp").agg(F.min("doc").alias("rep")).select("fp", F.coalesce("rep", stand_in).alias("rep")), "classes")
     copies = classes.select("fp", "rep").mapInArrow(_replicate, "anchor long, fp long, rep long")
-    links = copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold), "a long, b long")
-    comps = connected_components(links)
+    comps = _joined(copies, threshold)
     label = classes.join(comps, classes.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     # A hot fingerprint makes one large join key; adaptive execution can split this join.
     return fps.join(label, "fp").select("doc", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component"))
@@ -299,9 +328,7 @@ def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     best = F.min(F.struct(F.col("i").isNull().alias("last"), "i", "h", "n")).alias("best")
     classes = staged(texts.groupBy(*WORDS).agg(best).withColumn("rep", F.monotonically_increasing_id()), "classes")
     copies = classes.select(*WORDS, "rep").mapInArrow(_to_pieces, f"anchor long, {words}, rep long")
-    compare = _compare(differing_bits(similarity), WORDS)
-    links = copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
-    comps = connected_components(links)
+    comps = _joined(copies, differing_bits(similarity), WORDS)
     group = classes.join(comps, classes.rep == comps.node, "left").groupBy(F.coalesce("component", "rep").alias("group"))
     winners = staged(group.agg(F.min("best").alias("best")).select("best.i", "best.h", "best.n"), "winners")
     chosen = lambda w: keyed.alias("d").join(w.alias("w"), F.col("d.i").eqNullSafe(F.col("w.i")) & (F.col("d.h") == F.col("w.h")), "left_semi")

@@ -156,3 +156,24 @@ def test_overfull_ranges_are_subdivided(spark):
         slots.setdefault(r.shard, []).append(r.slot)
     assert len(out) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in out)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+@pytest.mark.parametrize("small", [2, simhash.SMALL])
+def test_links_of_an_anchor_join_what_brute_force_joins(monkeypatch, small):
+    """Chains, bridges and lone members at anchors of 1 to 40 members: one link of each member to the smallest that it reaches."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    r = np.random.default_rng(4)
+    anchor = np.sort(r.integers(0, 40, 500))
+    fp, rep = r.integers(0, 1 << 8, 500), np.arange(500) * 3
+    a, b = simhash.links_of_groups(anchor, fp, rep, 1)
+    want = {}
+    for i in range(500):
+        seen, queue = {i}, [i]
+        while queue:
+            x = queue.pop()
+            more = [j for j in np.flatnonzero(anchor == anchor[x]) if j not in seen and int(fp[x] ^ fp[j]).bit_count() <= 1]
+            seen.update(more)
+            queue += more
+        if min(seen) != i:
+            want[3 * i] = 3 * min(seen)
+    assert dict(zip(b.tolist(), a.tolist())) == want and len(b) == len(want)
