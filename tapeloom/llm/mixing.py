@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Every row gets a hash-random key of its id and text; within its source, rows are ordered by that
+Every row gets a hash-random key (MD5) of its id and text; within its source, rows are ordered by that
 key.  Rows equal in source, id and text are counted first and go as one.  The key's leading bits name a cell, so a
 source of any size is sorted in many tasks, the more the more rows there are; the running sum inside a cell plus
 the totals of the cells before it is the row's prefix sum of tokens.  Whole epochs are taken from every row,
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.util import WORD_GAP, staged
+from tapeloom.llm.util import KEY_BITS, WORD_GAP, hash_key, staged
 
 #: Cells of a source's order are 2 ** bits: as many bits at least, and so many rows to a cell at most if all were of one source.
 CELL_BITS, CELL_ROWS = 10, 50_000
@@ -76,17 +76,18 @@ def mix(
     cell_bits: int | None = None,
 ) -> DataFrame:
     """(id, source, size, source_size, target, taken) of every row."""
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = df.select(
         F.col(id_col).alias("_id"),
         F.col(source).isNull().alias("_null"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
         word_count(text).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)).alias("_key"),
+        hash_key(F.concat_ws("/", F.lit(str(seed)), named, F.coalesce(F.md5(text), F.lit("")))).alias("_key"),
     )
     narrow = staged(rows.groupBy("_null", "_source", "_key", "_id", "size").agg(F.count("*").alias("_rows")), "mix-keys")
     if cell_bits is None:
         cell_bits = max(CELL_BITS, int(narrow.count() // CELL_ROWS).bit_length())
-    narrow = narrow.withColumn("_cell", F.shiftrightunsigned("_key", 64 - cell_bits).cast("int"))
+    narrow = narrow.withColumn("_cell", F.shiftright("_key", KEY_BITS - cell_bits).cast("int"))
     words = F.col("size") * F.col("_rows")
 
     cells = staged(narrow.groupBy("_null", "_source", "_cell").agg(F.sum(words).alias("_sum")), "mix-cells")

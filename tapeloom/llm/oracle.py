@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tapeloom.llm.quality_rules import DEFAULT_RULES, STOP_WORDS
+from tapeloom.llm.sharding import ID_BYTES, WHOLE_GROUP
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -78,5 +79,52 @@ FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
 """
 
 
+
+def _crc_entry(byte: int) -> int:
+    """CRC-32's register after one byte (reflected polynomial 0xEDB88320)."""
+    for _ in range(8):
+        byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+_CRC = ", ".join(str(_crc_entry(b)) for b in range(256))
+
+#: Rows in order of hash and id; a row lies in the shard of its first byte, or of its group's if the group is small.
+SHARDS = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, text, octet_length(encode(text)) + {ID_BYTES} AS size, substr(md5(text), 1, 15) AS k FROM t),
+p AS (SELECT *, sum(size) OVER (ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS place, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY k) AS same FROM s),
+b AS (SELECT *, CASE WHEN same <= total / (24.0 * {WHOLE_GROUP}) THEN min(place) OVER (PARTITION BY k) ELSE place END AS border FROM p),
+h AS (SELECT *, least(border * 24 // total, 23)::integer AS shard FROM b)
+SELECT doc_id, size::bigint AS size, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY place) - 1)::bigint AS slot, cast(NULL AS integer) AS grown_shard,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: cast('0x' || x AS bigint)),
+    lambda c, x: xor(c >> 8, ([{_CRC}]::bigint[])[1 + (xor(c, x) & 255)]), 4294967295::bigint), 4294967295)::bigint AS text_crc32
+FROM h
+"""
+
+#: Targets by the first level at which the sources below it are full; taken words by whole epochs and a cut of the hash order.
+MIX = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::bigint AS size,
+    substr(md5('7/' || coalesce(cast(doc_id AS varchar), '') || '/' || coalesce(md5(text), '')), 1, 15) AS k FROM documents),
+s AS (SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][1 + (r - 1) % 3]::double AS w, 2.0::double * source_size AS cap FROM s),
+budget AS (SELECT 1.5::double * sum(source_size)::bigint AS budget FROM s),
+tries AS (SELECT a.cap / a.w AS most, ((SELECT budget FROM budget) - coalesce(sum(b.cap) FILTER (b.cap / b.w < a.cap / a.w), 0)) / sum(b.w) FILTER (b.cap / b.w >= a.cap / a.w) AS level
+  FROM w a, w b GROUP BY a.r, a.cap, a.w),
+level AS (SELECT arg_min(level, most) AS level FROM tries WHERE level <= most),
+t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT level FROM level), 'infinity'::double)) AS target FROM w),
+c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target)::bigint // source_size ELSE 0 END AS epochs,
+    sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS place FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, floor(target)::bigint - epochs * source_size - place)))::bigint AS taken FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY, "op2_warc": WARC, "op3_suffix_dedup": SUBSTRINGS, "op8_decontamination": DECONTAMINATION}
+    return {
+        "op1_quality_rules": QUALITY,
+        "op2_warc": WARC,
+        "op3_suffix_dedup": SUBSTRINGS,
+        "op7_sharding": SHARDS,
+        "op8_decontamination": DECONTAMINATION,
+        "op10_mixing": MIX,
+    }

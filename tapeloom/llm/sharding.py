@@ -11,8 +11,9 @@
    borders are cut at equal shares of the total, so shards differ by about one
    document however the sample fell.
 
-Equal texts have one key and so lie side by side: they share a shard unless
-their group crosses a border (shards of near equal bytes come first).  Rows equal in text and id are counted and placed as one, however
+Equal texts have one key (of the text's MD5) and so lie side by side.  A group of them that holds at most
+``1 / WHOLE_GROUP`` of a shard goes whole to the shard in which it starts, and no splitter falls inside it; so
+shards are off by such a group at most.  A larger group is cut at the border like other rows.  Rows equal in text and id are counted and placed as one, however
 many they are, and take their places one after another.  Only narrow rows (key, id, size) are sorted and
 shuffled.  DataFrame functions only.
 
@@ -28,10 +29,14 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.util import shuffle_partitions, staged
+from tapeloom.llm.util import hash_key, shuffle_partitions, staged
 
 #: Fixed part of a record's size, for its id.
 ID_BYTES = 8
+#: Groups of equal texts up to this part of a shard's bytes are kept whole.
+WHOLE_GROUP = 50
+#: Splitters' ids that come before every row of their key.
+FIRST_ID = -(2**63)
 #: Times that overfull ranges are subdivided at most.
 SUBDIVISIONS = 4
 
@@ -74,8 +79,8 @@ def assign_shards(
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = df.select(
         F.col(id_col).cast("long").alias("_doc"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"),
-        F.xxhash64(F.col(text)).alias("_key"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("_id"),
+        hash_key(F.coalesce(F.col(text), F.lit(""))).alias("_key"),
         (F.octet_length(raw) + ID_BYTES).cast("long").alias("_one"),
         F.crc32(raw).alias("_crc"),
     )
@@ -89,8 +94,18 @@ def assign_shards(
         u = F.shiftrightunsigned(F.xxhash64(F.lit(f"draw {turn}"), "_key", "_id"), 11) / F.lit(float(1 << 53))
         return sorted((r[0], r[1]) for r in rows.where(u * size < F.col("_size").cast("double") * count).select("_key", "_id").distinct().collect())
 
+    small = total / (n_shards * WHOLE_GROUP)
+
+    def at_edges(found: set[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Splitters, those inside a small group of equal texts moved to its edge; one row a key comes back."""
+        held = narrow.where(F.col("_key").isin(sorted({k for k, _ in found}))).groupBy("_key").agg(F.sum("_size").alias("s")) if found else None
+        over_small = {r["_key"] for r in held.where(F.col("s") > small).collect()} if found else set()
+        large.update(over_small)
+        return {(k, i if k in over_small else FIRST_ID) for k, i in found}
+
+    large: set[int] = set()
     keys = drawn(narrow, total, m, 0)
-    cuts = sorted(set(keys[max(1, len(keys) // ranges) :: max(1, len(keys) // ranges)]))
+    cuts = sorted(at_edges(set(keys[max(1, len(keys) // ranges) :: max(1, len(keys) // ranges)])))
     place = lambda: _last_splitter([k for k, _ in cuts], [i for _, i in cuts])
     for turn in range(1, SUBDIVISIONS + 1):
         # At most len(cuts) + 1 rows
@@ -103,7 +118,7 @@ def assign_shards(
         inside = narrow.withColumn("_range", place()).where(F.col("_range").isin(list(over)))
         found = drawn(inside, size, parts * oversample, turn)
         step = max(1, len(found) // parts)
-        new = set(found[step::step]) - set(cuts)
+        new = at_edges(set(found[step::step])) - set(cuts)
         if not new:
             break
         cuts = sorted({*cuts, *new})
@@ -117,12 +132,17 @@ def assign_shards(
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     in_order = Window.partitionBy("_range").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    # A group in several ranges has a splitter, and its key is in ``large``; all others can be summed inside their range.
+    in_group = Window.partitionBy("_range", "_key")
     placed = (
         ranged.withColumn("_in", F.coalesce(F.sum("_size").over(in_order), F.lit(0)))
+        .withColumn("_group", F.sum("_size").over(in_group))
+        .withColumn("_first", F.min("_in").over(in_group))
         .join(F.broadcast(offsets), "_range")  # at most ranges + 1 rows
         .withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)))
         .withColumn("_start", F.col("_before") + F.col("_in") + F.col("_row") * F.col("_one"))
-        .withColumn("shard", F.least(F.expr(f"_start * {n_shards}L div {max(total, 1)}L"), F.lit(n_shards - 1)).cast("int"))
+        .withColumn("_border", F.when((F.col("_group") <= small) & ~F.col("_key").isin(sorted(large)), F.col("_before") + F.col("_first")).otherwise(F.col("_start")))
+        .withColumn("shard", F.least(F.expr(f"_border * {n_shards}L div {max(total, 1)}L"), F.lit(n_shards - 1)).cast("int"))
     )
     placed = staged(placed.select("_range", "_doc", F.col("_one").alias("_size"), "_crc", "_start", "shard"), "shard-places")
     # A range meets few shards; (range, shard) pairs number at most ranges + shards.

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII whitespace of the word pattern ``[^\x20\x09-\x0D]+``; the same set that ``bytes.split()`` uses.
@@ -68,6 +68,15 @@ def aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.withColumnsRenamed(renamed) if renamed else df
 
 
+#: Bits of ``hash_key``.
+KEY_BITS = 60
+
+
+def hash_key(value: Column) -> Column:
+    """The first 60 bits of the MD5 of a text, as a number: any engine can compute it."""
+    return F.conv(F.substring(F.md5(value), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

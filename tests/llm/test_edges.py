@@ -3,12 +3,13 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeloom.llm import decontam, linear_text, mixing, passages, quality_eb, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
+from tapeloom.llm import decontam, linear_text, mixing, passages, quality_eb, quality_rules, queries, sharding, simhash, suffix_dedup, toxicity, warc
 
 LABELS = "doc_id long, quality int, toxic int"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -145,6 +146,32 @@ def test_mix_reaches_targets_with_equal_rows_and_null_ids(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(2)).collect()))
 
 
+def test_small_groups_of_equal_texts_stay_whole(spark):
+    """However the splitters fall; only groups over a fiftieth of a shard meet two shards."""
+    rows = [(i, f"text {i // 7} " + "y" * (i // 7 % 50)) for i in range(21_000)] + [(-i, "hot") for i in range(1, 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = dict(rows)
+    for ranges, oversample in ((64, 1), (16, 8)):
+        out, shards, sizes = sharding.assign_shards(df, 8, ranges=ranges, oversample=oversample).collect(), {}, Counter()
+        for r in out:
+            shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+            sizes[r.shard] += r.size
+        assert len(out) == len(rows) and {t for t, s in shards.items() if len(s) > 1} <= {"hot"}
+        mean = sum(sizes.values()) / 8
+        assert max(abs(s - mean) for s in sizes.values()) < mean / 25
+
+
+@pytest.mark.parametrize("name", ["op7_sharding", "op10_mixing"])
+def test_sql_agrees_on_repeated_rows_and_nulls(spark, tmp_path, name):
+    rows = [(i % 300, f"words of {i % 90} " + "é " * (i % 11), "abcde"[i % 5]) for i in range(600)] + [(None, "x y z", None)] * 40 + [(i, None, "a") for i in range(9)] + [(5, "", "solo")] * 3
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = getattr(queries, name)(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_overfull_ranges_are_subdivided(spark):
     """A sample of two keys leaves ranges far too full; equal rows are placed one after another."""
     rows = [(i, f"text {i} " + "y" * (i % 50)) for i in range(3000)] + [(9, "hot")] * 500
