@@ -162,7 +162,10 @@ def _raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _CM.field("volume_disclosed").offset
     whole = tapes.encode(_CM, values).cast("string")
     raw = F.when(bad, F.concat(F.substring(whole, 1, at), F.lit("0000X076"), F.substring(whole, at + 9, 200))).otherwise(whole)
-    return tape(spark, sf_dir).select(raw.cast("binary").alias(RAW), "seq")
+    # Written and read again: a filter would otherwise be pushed below the encoder, which would stand in it once a cell.
+    made, path = tape(spark, sf_dir).select(raw.cast("binary").alias(RAW), "seq"), storage.scratch_path(spark, "records")
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def _where_query(name: str, where: str, condition: str) -> None:
