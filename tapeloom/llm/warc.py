@@ -2,11 +2,12 @@
 
 Layout of an archive file: a leading skippable frame (magic 0x184D2A5D) holds
 the dictionary; after it every WARC record is one Zstandard frame, compressed
-with that dictionary and followed by an empty skippable frame, which decoders
+with that dictionary; here and there stands an empty skippable frame, which decoders
 pass over.  Any record can be read alone from its offset.
 
-Files are written by Spark's own text writer: a record's frame is one row, and
-the empty skippable frame is the line separator.  So archives go through Spark's
+Files are written by Spark's own text writer: about a megabyte of frames is one row, and
+the empty skippable frame is the line separator.  The writer begins a new file after a number
+of rows, so no archive outgrows the task that reads it.  Archives go through Spark's
 commit protocol to any file system it can reach, and a lost executor only means
 that its tasks run again.
 
@@ -44,6 +45,8 @@ EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0).decode("latin-1")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Dictionary training: at most so many records, chosen by hash, so many bytes of each, and the dictionary's size.
 TRAIN_RECORDS, TRAIN_BYTES, DICT_BYTES = 1000, 8192, 65_536
+#: A row of frames ends at so many bytes, an archive after so many rows.
+ROW_BYTES, ARCHIVE_ROWS = 1 << 20, 128
 
 FIELDS = "row_key bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -166,8 +169,14 @@ def write_archives(
     min_dedup_bytes: int = 0,
     date: str = "2020-01-01T00:00:00Z",
     level: int = 3,
+    row_bytes: int = ROW_BYTES,
+    archive_rows: int = ARCHIVE_ROWS,
 ) -> None:
-    """Write one archive per partition of the deduplicated rows to ``path``."""
+    """Write the deduplicated rows to ``path``, each partition as archives of at most ``archive_rows`` rows of frames.
+
+    A row ends with the frame that takes it to ``row_bytes``, so an archive is bounded by the two and the longest frame;
+    the writer begins a new file after so many rows, and the first row of each file carries the dictionary.
+    """
     spark, df = df.sparkSession, df.select(key, url, payload)
     clean = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     # First the keys, then only their payloads: tasks send the driver a few small rows each
@@ -181,18 +190,27 @@ def write_archives(
     def compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = _dictionary(shared.value)
         cctx = zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=True)
-        begun = False
+        frames, held, done = [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            lead = dictionary_frame(shared.value) if done % archive_rows == 0 else b""
+            return pa.RecordBatch.from_arrays([pa.array([lead + b"".join(frames)], pa.binary())], names=["frame"])
+
         for batch in batches:
             for part in slices(batch, "_payload", 4 << 20):
-                frames = [] if begun else [dictionary_frame(shared.value)]
-                begun = True
                 cols = [part.column(c).to_pylist() for c in ("_key", "_url", "_payload", "_refers")]
-                frames += [cctx.compress(make_record(k, u, p, r, date)) for k, u, p, r in zip(*cols)]
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+                for k, u, p, r in zip(*cols):
+                    frames.append(cctx.compress(make_record(k, u, p, r, date)))
+                    held += len(frames[-1])
+                    if held >= row_bytes:
+                        yield row()
+                        frames, held, done = [], 0, done + 1
+        if frames:
+            yield row()
 
     rows = mark_revisits(df, key, payload, min_dedup_bytes).select("_key", F.col(url).cast("string").alias("_url"), "_payload", "_refers")
     frames = rows.mapInArrow(compress, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(path)
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", archive_rows).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
