@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeloom.llm import decontam, linear_text, mixing, passages, quality_eb, quality_rules, queries, sharding, simhash, suffix_dedup, toxicity, warc
+from tapeloom.llm import components, decontam, linear_text, mixing, passages, quality_eb, quality_rules, queries, sharding, simhash, suffix_dedup, toxicity, warc
 
 LABELS = "doc_id long, quality int, toxic int"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -172,6 +172,29 @@ def test_sql_agrees_on_repeated_rows_and_nulls(spark, tmp_path, name):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_components_with_hubs(spark, monkeypatch, hot):
+    """Hubs on both sides of the order, chains and pairs, with and without the hot path."""
+    monkeypatch.setattr(components, "HOT_EDGES", hot)
+    edges = [(500, i) for i in range(501, 560)] + [(600, i) for i in range(100, 140)] + [(139, 501)] + [(i, i + 1) for i in range(700, 740)] + [(900, 901), (902, 902)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((k, v) for k, v in root.items() if k != 902)
+
+
+def test_archives_are_rolled_by_size(spark, tmp_path):
+    """Every file of a task leads with the dictionary, and all records come back."""
+    pages = [(i, f"http://h/{i}", f"page {i} " * (i % 50)) for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/a", row_bytes=2000, archive_rows=3)
+    files = [f for f in (tmp_path / "a").glob("part-*") if f.stat().st_size]
+    assert len(files) > 5 and all(f.read_bytes()[:4] == warc.DICT_MAGIC.to_bytes(4, "little") for f in files)
+    assert {x.row_key for x in warc.read_archives(spark, f"file://{tmp_path}/a").collect()} == set(range(400))
+
+
 def test_overfull_ranges_are_subdivided(spark):
     """A sample of two keys leaves ranges far too full; equal rows are placed one after another."""
     rows = [(i, f"text {i} " + "y" * (i % 50)) for i in range(3000)] + [(9, "hot")] * 500
