@@ -71,7 +71,7 @@ def _repeat_words() -> Column:
 def _pieces(df: DataFrame, text: str) -> DataFrame:
     """The arrays that several metrics share, each made once."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_quality_w", _words(t)).withColumn("_quality_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn("_quality_w", _words(t)).withColumn("_quality_j", F.array_join("_quality_w", "")).withColumn("_quality_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn(
         "_quality_g",
         F.expr(
@@ -101,8 +101,8 @@ def metrics(text: str = "text") -> dict[str, Column]:
     n_words = F.size("_quality_w").cast("long")
     n_lines = F.greatest(F.size("_quality_l"), F.lit(1))
     per_word = lambda x: x / F.greatest(n_words, F.lit(1))
-    joined = F.array_join("_quality_w", "")
-    stop = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws})])
+    joined = F.col("_quality_j")
+    stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
     letters = F.length(F.regexp_replace(joined, r"\P{L}+", ""))
     return {
         "n_words": n_words,
@@ -112,11 +112,12 @@ def metrics(text: str = "text") -> dict[str, Column]:
         "n_repeat_words": _repeat_words(),
         "mean_word_length": per_word(F.length(joined)),
         "symbols_per_word": per_word(F.octet_length(t) - F.octet_length(F.regexp_replace(t, r"[#*$%&|<>]", ""))),
-        "stop_word_ratio": per_word(F.size(F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: F.array_contains(stop, w)))),
+        "stop_word_ratio": per_word(F.size(F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w.isin(stop)))),
         "dup_line_ratio": (F.size("_quality_l") - F.size(F.array_distinct("_quality_l"))) / n_lines,
         "ellipsis_line_ratio": F.size(F.filter("_quality_l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) / n_lines,
         "bullet_line_ratio": F.size(F.filter("_quality_l", lambda x: x.rlike(r"^\s*[-*•‣]"))) / n_lines,
-        "alpha_word_ratio": per_word(F.size(F.filter("_quality_w", lambda w: w.rlike(r"\p{L}")))),
+        # From the first letter of a word to its end: one match a word with a letter.
+        "alpha_word_ratio": per_word(F.regexp_count(t, F.lit(r"\p{L}[^\x20\x09-\x0D]*"))),
         "upper_ratio": F.length(F.regexp_replace(joined, r"\P{Lu}+", "")) / F.greatest(letters, F.lit(1)),
     }
 
@@ -136,7 +137,7 @@ def with_quality(df: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFA
     """``df`` with every figure, ``base_failed``, ``failed_rules`` and ``kept``."""
     source = df.select(F.struct("*").alias("_quality_row"), F.col(text).cast("string").alias("_quality_text"))
     made = metrics("_quality_text")
-    out = _pieces(source, "_quality_text").withColumns(made).drop("_quality_w", "_quality_l", "_quality_g", "_quality_rep")
+    out = _pieces(source, "_quality_text").withColumns(made).drop("_quality_w", "_quality_j", "_quality_l", "_quality_g", "_quality_rep")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     names = [
         F.when(~F.coalesce(compile_rules([r]), F.lit(False)), F.lit(r.name)) for r in rules
