@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.errors import FeedError
 from tapeloom.functions.values import micros_of_timestamp, timestamp_of_micros
-from tapeloom.operators.book import BUY, COUNTERS, LOOKAHEAD, SELL, Event, Fill, SymbolReplay, snapshot_columns
+from tapeloom.operators.book import BUY, COUNTERS, DAY as MICROS_OF_DAY, LOOKAHEAD, SELL, Event, Fill, SymbolReplay, snapshot_columns
 from tapeloom.shipping import ship
 from tapeloom.sources import storage
 from tapeloom.sources.feed import open_feed
@@ -27,7 +27,7 @@ from tapeloom.sources.layouts import parse_date
 from tapeloom.sources.parsed import OPTIONAL, REQUIRED, read_parsed, require_columns
 from tapeloom.sources.sink import compression_of
 
-EVENT_COLUMNS = ("ts", "order", "activity", "side", "price", "quantity", "disclosed", "algo", "client", "ioc", "market", "stop", "trigger")
+EVENT_COLUMNS = ("ts", "order", "activity", "side", "price", "quantity", "disclosed", "algo", "client", "ioc", "market", "stop", "trigger", "tod")
 FILL_SCHEMA = "symbol string, txn_time timestamp_ntz, trade_price bigint, trade_quantity bigint, buy_order_number bigint, sell_order_number bigint, aggressor string"
 FILL_DETAIL = ", incoming_order bigint, resting_order bigint, from_hidden boolean"
 DEFAULT_LEVELS, DEFAULT_INTERVAL = 20, 1.0
@@ -40,7 +40,8 @@ def extract_events(orders: DataFrame, order_by: Column | str | None = None, key:
     """Event columns with (day, symbol, seq).  Rows that cannot be applied to a book are left out.
 
     ``seq`` is feed order and must be total: the column ``seq`` by default.  Books are kept per ``key``
-    and day; further key columns are joined to the symbol with a slash.
+    and day; further key columns are joined to the symbol with a slash.  An optional column ``session_time``
+    gives the day and the time of day that decide the session where ``txn_time`` does not, as on a made tape that runs past the close.
     """
     require_columns(orders)
     ship(orders.sparkSession)
@@ -49,9 +50,11 @@ def extract_events(orders: DataFrame, order_by: Column | str | None = None, key:
     code = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(255))
     flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c in orders.columns else F.lit(False)
     side = F.substring("buy_sell", 1, 1)
-    day = F.col("txn_time").cast("timestamp_ntz").cast("date")
+    clock = F.col("txn_time").cast("timestamp_ntz")
+    if "session_time" in orders.columns:
+        clock = F.coalesce(F.col("session_time").cast("timestamp_ntz"), clock)
     made = orders.select(
-        day.alias("day"),
+        clock.cast("date").alias("day"),
         F.concat_ws("/", *key).alias("symbol") if len(key) > 1 else F.col(key[0]).alias("symbol"),
         seq.alias("seq"),
         micros_of_timestamp(F.col("txn_time").cast("timestamp_ntz")).alias("ts"),
@@ -67,6 +70,7 @@ def extract_events(orders: DataFrame, order_by: Column | str | None = None, key:
         flag("mkt_order_flag").alias("market"),
         flag("stop_loss_flag").alias("stop"),
         (zero("trigger_price") if "trigger_price" in orders.columns else F.lit(0).cast("bigint")).alias("trigger"),
+        F.pmod(micros_of_timestamp(clock), F.lit(MICROS_OF_DAY)).alias("tod"),
     )
     return made.dropna(subset=["symbol", "ts", "order", "activity", "side"])
 
@@ -304,7 +308,7 @@ def lockstep(events: list[Event], labelled: list[tuple], symbol: str = "", looka
     """
     from copy import deepcopy
 
-    from tapeloom.operators.book import CONTINUOUS_FROM, DAY, OrderBook
+    from tapeloom.operators.book import CONTINUOUS_FROM, OrderBook
 
     known: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for kind, ts, aggressor, resting, price, quantity in labelled:
@@ -317,7 +321,7 @@ def lockstep(events: list[Event], labelled: list[tuple], symbol: str = "", looka
             if rules is not None:
                 rules.announce(events[read])
             read += 1
-        if ev.ts % DAY < CONTINUOUS_FROM:
+        if ev.session_clock() < CONTINUOUS_FROM:
             truth.apply(ev)
             continue
         if rules is None:
@@ -343,7 +347,10 @@ def lockstep(events: list[Event], labelled: list[tuple], symbol: str = "", looka
 
 
 def diverging_events(orders: DataFrame, labels: DataFrame, order_by: Column | str | None = None) -> DataFrame:
-    """``lockstep`` for every day and symbol: ``labels`` has (symbol, kind, event_ts, aggressor, resting, price, quantity, trade_number)."""
+    """``lockstep`` for every day and symbol: ``labels`` has (symbol, kind, event_ts, aggressor, resting, price, quantity, trade_number).
+
+    A ``session_time`` must keep the date of ``txn_time`` here.
+    """
     import pandas as pd
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
