@@ -26,9 +26,11 @@ def label_trades(trades: DataFrame, orders: DataFrame) -> DataFrame:
     """(symbol, kind, event_ts, aggressor, resting, price, quantity, trade_number, trade_ts, buy, sell) of every trade.
 
     The aggressor is the side whose latest entry or modify is later.  Kind: A before 09:15, '?' where that is undecided, else C.
+    An optional column ``session_time`` of the trades decides that in place of ``txn_time``.
     """
     events = orders.where("activity_type in (1, 4)").select("symbol", F.col("order_number").alias("o"), micros_of_timestamp(F.col("txn_time")).alias("ts"))
     events = events.withColumn("event", F.col("ts"))
+    clock = F.coalesce("session_time", "txn_time") if "session_time" in trades.columns else F.col("txn_time")
     t = trades.select(
         "symbol",
         F.col("trade_number").alias("n"),
@@ -37,7 +39,7 @@ def label_trades(trades: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("sell_order_number").alias("s"),
         F.col("trade_price").alias("p"),
         F.col("trade_quantity").alias("q"),
-        (F.date_format("txn_time", "HH:mm:ss") < "09:15:00").alias("early"),
+        (F.date_format(clock, "HH:mm:ss") < "09:15:00").alias("early"),
     )
     for side in ("b", "s"):
         t = asof_join(t, events.withColumnRenamed("o", side), ["symbol", side], "ts", "event", f"{side}_ts")
