@@ -1,7 +1,7 @@
 """Hashed-word logistic models for the text classifiers: features, selection and training.
 
-Models are fitted on the driver from a bounded sample of labelled rows
-(``MAX_LABELLED``); scoring runs in the tasks.
+Models are fitted from a bounded sample of labelled rows (``MAX_LABELLED``);
+scoring runs in the tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.decontam import words
-from tapeloom.llm.util import raw_texts, slices
+from tapeloom.llm.util import raw_texts, slices, staged
 
 #: The most labelled rows a model is fitted on, chosen by the hash of their id.
 MAX_LABELLED = 20_000
@@ -122,7 +122,10 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, earlier: np.ndarray, y: np.nd
     for _ in range(rounds):
         p = sigmoid(x @ w)
         gradient = x.T @ (p - y) + penalty * w
-        hessian = (x.T * (p * (1 - p))) @ x + np.diag(penalty)
+        hessian = np.diag(penalty)
+        for at in range(0, n, 4096):  # no second copy of all rows
+            part, weight = x[at : at + 4096], (p * (1 - p))[at : at + 4096]
+            hessian += (part.T * weight) @ part
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-5:
@@ -131,8 +134,8 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, earlier: np.ndarray, y: np.nd
     return Logistic(chosen, w[:a], w[a:b], w[b:-1], float(w[-1]))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text: str, targets: dict[str, Column], limit: int = MAX_LABELLED):
-    """(ids, rows, dense, {target: 0/1}) of at most ``limit`` labelled documents, on the driver.
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, targets: dict[str, Column], limit: int = MAX_LABELLED) -> DataFrame:
+    """(_id, words, dense, one 0/1 a target) of at most ``limit`` labelled documents.
 
     Labels with a null id or target are left out.  Of several labels of an id the smallest counts, target by
     target; of several texts the smallest.
@@ -140,6 +143,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text: str
     names = [f"_y{i}" for i in range(len(targets))]
     known = labels.select(F.col(id_col).alias("_id"), *[t.cast("int").alias(n) for n, t in zip(names, targets.values())]).dropna()
     chosen = known.groupBy("_id").agg(*[F.min(n).alias(n) for n in names]).orderBy(F.xxhash64(F.lit("fit"), "_id"), "_id").limit(limit)
+    chosen = staged(chosen, "chosen")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
@@ -152,14 +156,22 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text: str
     matched = rows.join(F.broadcast(chosen.select("_id")), "_id", "left_semi")  # at most ``limit`` ids
     matched = matched.groupBy("_id").agg(F.min("_text").alias("_text"))
     made = matched.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, words binary, dense array<double>")
-    found = made.collect()
-    truth = {r[0]: r[1:] for r in chosen.collect()}
+    return made.join(F.broadcast(chosen), "_id").select("_id", "words", "dense", *names)
+
+
+def training_set(found: list[tuple], targets: Iterable[str]) -> tuple[list, list[np.ndarray], np.ndarray, dict[str, np.ndarray]]:
+    """(ids, rows, dense, {target: 0/1}) of ``labelled_rows``."""
     found.sort(key=lambda r: (r[0], r[1]))
-    y = {t: np.array([truth[r[0]][i] for r in found], bool) for i, t in enumerate(targets)}
+    y = {t: np.array([r[3 + i] for r in found], bool) for i, t in enumerate(targets)}
     dense = np.array([r[2] for r in found], float).reshape(len(found), N_DENSE)
     return [r[0] for r in found], [np.frombuffer(r[1], np.int32) for r in found], dense, y
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text: str, targets: dict[str, Column], limit: int = MAX_LABELLED):
+    """``training_set`` of the labelled documents, on the driver."""
+    return training_set(labelled_rows(docs, labels, id_col, text, targets, limit).collect(), targets)
+
+
 def folds_of(ids: list, k: int) -> np.ndarray:
     return np.array([xxhash.xxh32_intdigest(str(i).encode()) % k for i in ids], np.int64)
 

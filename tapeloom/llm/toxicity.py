@@ -5,7 +5,7 @@ figures and the log-odds of all earlier categories.  For training, the earlier l
 out-of-fold predictions, so a later model sees earlier ones as wrong as they
 will be on new text.
 
-Models are fitted on at most ``max_labelled`` labelled rows.  A null or empty text
+Models are fitted in one task on at most ``max_labelled`` labelled rows.  A null or empty text
 has the base probability.  Without labels, or with labels of one class only, every text has the
 (smoothed) base rate.  Further columns pass through ``with_toxicity``; one with the name of a result is
 called ``<name>_in``.  Repeated rows are scored each; an empty table gives no rows.
@@ -13,6 +13,7 @@ called ``<name>_in``.  Repeated rows are scored each; an empty table gives no ro
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.linear_text import MAX_LABELLED, Logistic, _Ids, featurise, fit, folds_of, labelled_features, predict, sigmoid
-from tapeloom.llm.util import aside, raw_texts, slices
+from tapeloom.llm.linear_text import MAX_LABELLED, Logistic, _Ids, featurise, fit, folds_of, labelled_rows, predict, sigmoid, training_set
+from tapeloom.llm.util import aside, discard, raw_texts, slices, staged
 
 FOLDS = 4
 THRESHOLD = 0.5
@@ -46,6 +47,19 @@ def fit_chain(ids: list, rows: list[np.ndarray], dense: np.ndarray, targets: dic
     return chain, held_out
 
 
+def chain_of(rows: DataFrame, targets: list[str], folds: int = FOLDS) -> list[Logistic]:
+    """``fit_chain`` of ``labelled_rows`` in one task: the driver gets the models only."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_chain(*training_set(found, targets), folds)[0])], pa.binary())], names=["chain"])
+
+    rows = staged(rows, "labelled")  # else the one task would make the features too
+    chain = rows.coalesce(1).mapInArrow(run, "chain binary").first()[0]
+    discard(rows)
+    return pickle.loads(chain)
+
+
 def score_chain(chain: list[Logistic], tables: list[np.ndarray], ids: np.ndarray, dense: np.ndarray) -> list[float]:
     """Probabilities of all categories of one text, each fed to the later ones."""
     scores: list[float] = []
@@ -71,8 +85,7 @@ def with_toxicity(
     """
     names = list(categories)
     reject = reject or names[-1]
-    ids, rows, dense, y = labelled_features(docs, labels, id_col, text, categories, max_labelled)
-    chain, _ = fit_chain(ids, rows, dense, y, folds)
+    chain = chain_of(labelled_rows(docs, labels, id_col, text, categories, max_labelled), names, folds)
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most MAX_WORDS weights a category
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Classifiers on held-out text, and the pipeline's stages on a small corpus."""
 
+import os
 import random
 
 import numpy as np
@@ -65,6 +66,25 @@ def test_edge_rows_and_one_class(spark):
     assert quality_eb.with_site_quality(docs.limit(0), none, F.col("quality"), F.col("toxic"), F.col("toxic")).count() == 0
 
 
+def test_chain_is_fitted_in_a_task(spark, frames, monkeypatch):
+    """The labelled rows do not go to the driver, and the models are those that it would fit."""
+    docs, labels, _ = frames
+    targets = {"unclean": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    known = linear_text.labelled_features(docs, labels, "doc_id", "text", targets)
+    want, _ = toxicity.fit_chain(*known)
+    driver, fit_chain = os.getpid(), toxicity.fit_chain
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return fit_chain(*args)
+
+    monkeypatch.setattr(toxicity, "fit_chain", elsewhere)
+    got = toxicity.chain_of(linear_text.labelled_rows(docs, labels, "doc_id", "text", targets), list(targets))
+    for a, b in zip(want, got, strict=True):
+        assert a.words.tolist() == b.words.tolist() and a.weights == pytest.approx(b.weights) and a.bias == pytest.approx(b.bias)
+    assert toxicity.with_toxicity(docs, labels, targets).count() == 600
+
+
 def test_chain_feeds_out_of_fold_scores():
     r = np.random.default_rng(1)
     rows = [np.unique(r.integers(0, 50, 10)).astype(np.int32) for _ in range(400)]
