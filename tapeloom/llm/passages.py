@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.components import connected_components
-from tapeloom.llm.suffix_dedup import _blobs, _by_bucket, _dealt, merge_spans, mixed, powers, repeats_row_before, sliding_min
+from tapeloom.llm.suffix_dedup import _blobs, _by_bucket, _dealt, mixed, powers, repeats_row_before, sliding_min
 from tapeloom.llm.util import bucket_count, ranges, raw_texts, shuffle_partitions, slices, staged
 
 SHINGLE, PASSAGE, HASHES, ENOUGH, SIMILARITY = 5, 46, 4, 1, 0.8
@@ -52,6 +52,9 @@ REDUCE_BYTES = 24 << 20
 VERIFY_ROWS, MAX_PARTS = 4_096, 1 << 20
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_GAP = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+#: Of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
 NO_ID = -(2**63)
 
 #: key: smallest hash with the function's number in its last bits; runs of the window start at [c - back, c - back + n).
@@ -59,7 +62,7 @@ WINDOW = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("h", "<u
 
 
 class _WordHash(dict):
-    """Hash of each word; forgets all when it has grown large."""
+    """Hash of each long word; forgets all when it has grown large."""
 
     def __missing__(self, w: bytes) -> int:
         if len(self) > 1 << 18:
@@ -68,40 +71,70 @@ class _WordHash(dict):
         return x
 
 
+def split_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the words of all texts in lower case, each with one space after it, where they begin and where all end, words of each text)."""
+    sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
+    raw = np.frombuffer(b"".join(x for t in texts for x in (t or b"", b" ")).translate(_LOWER), np.uint8)
+    word = ~_GAP[raw]
+    kept = word.copy()
+    kept[1:] |= word[:-1]  # of the bytes after a word the first
+    inside = word[kept]
+    flat = np.where(inside, raw[kept], np.uint8(32))
+    begins = np.concatenate(([0], np.flatnonzero(~inside) + 1))
+    of_text = np.concatenate(([0], np.cumsum(kept, dtype=np.int64)[np.cumsum(sizes) - 1])) if len(texts) else np.zeros(1, np.int64)
+    return flat, begins, np.diff(np.searchsorted(begins, of_text))
+
+
+def word_hashes(flat: np.ndarray, begins: np.ndarray, cache: _WordHash) -> np.ndarray:
+    """XXH64 (seed 5) of each word, those of one length at a time; words of 32 bytes and more go through ``cache``."""
+    turned = lambda x, by: (x << _U(by)) | (x >> _U(64 - by))
+    size = np.minimum(np.diff(begins) - 1, 32).astype(np.uint8)
+    padded = np.concatenate((flat, np.zeros(8, np.uint8)))
+    at = lambda i, kind: np.ndarray(len(flat), kind, padded, 0, (1,))[i].astype(_U)
+    order = np.argsort(size, kind="stable")
+    stops = np.cumsum(np.bincount(size, minlength=33))
+    out = np.zeros(len(size), _U)
+    for n in range(1, 32):
+        mine = order[stops[n - 1] : stops[n]]
+        if not len(mine):
+            continue
+        i = begins[mine]
+        h = np.full(len(i), (5 + _P5 + n) % (1 << 64), _U)
+        for _ in range(n // 8):
+            h ^= turned(at(i, "<u8") * _U(_P2), 31) * _U(_P1)
+            h = turned(h, 27) * _U(_P1) + _U(_P4)
+            i = i + 8
+        if n % 8 >= 4:
+            h ^= at(i, "<u4") * _U(_P1)
+            h = turned(h, 23) * _U(_P2) + _U(_P3)
+            i = i + 4
+        for k in range(n % 4):
+            h ^= padded[i + k] * _U(_P5)
+            h = turned(h, 11) * _U(_P1)
+        h = (h ^ (h >> _U(33))) * _U(_P2)
+        h = (h ^ (h >> _U(29))) * _U(_P3)
+        out[mine] = h ^ (h >> _U(32))
+    for k in order[stops[31] :].tolist():
+        out[k] = cache[flat[begins[k] : begins[k + 1] - 1].tobytes()]
+    return out
+
+
 def shingles(texts: list[bytes | None], cache: _WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle hashes end to end, where each text's end, words of each text)."""
-    flat: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        ws = t.translate(_LOWER).split() if t else []
-        counts[i] = len(ws)
-        flat.extend(map(cache.__getitem__, ws))
-    w = np.array(flat, _U)
-    if len(w) < SHINGLE:
-        return np.zeros(0, _U), np.zeros(len(texts), np.int64), counts
-    n = len(w) - SHINGLE + 1
+    flat, begins, counts = split_words(texts)
+    return *shingles_of(word_hashes(flat, begins, cache), counts), counts
+
+
+def shingles_of(w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes end to end, where each text's end) of the words' hashes."""
+    m = np.maximum(counts - SHINGLE + 1, 0)
+    n = max(0, len(w) - SHINGLE + 1)
     s = np.zeros(n, _U)
     for k in range(SHINGLE):
-        s = s * _U(0x9E3779B97F4A7C15) + w[k : k + n]
-    m = np.maximum(counts - SHINGLE + 1, 0)
+        s *= _U(0x9E3779B97F4A7C15)
+        s += w[k : k + n]
     begin = np.cumsum(counts) - counts
-    return mixed(s)[ranges(begin, m)], np.cumsum(m), counts
-
-
-def spans_of_tree(key: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cartesian-tree spans [l, r] of the given nodes: up to the nearest smaller node on either side, inside [first, last)."""
-    left, right = first.tolist(), (last - 1).tolist()
-    keys, places, stack = key.tolist(), place.tolist(), []
-    ends = last.tolist()
-    for i, k in enumerate(keys):
-        while stack and (ends[stack[-1]] != ends[i] or keys[stack[-1]] > k):
-            j = stack.pop()
-            if ends[j] == ends[i]:
-                right[j] = places[i] - 1
-        if stack:
-            left[i] = places[stack[-1]] + 1
-        stack.append(i)
-    return np.array(left, np.int64), np.array(right, np.int64)
+    return mixed(s)[ranges(begin, m)], np.cumsum(m)
 
 
 def compact_windows(s: np.ndarray, ends: np.ndarray, docs: np.ndarray, h: np.ndarray, passage: int, hashes: int) -> np.ndarray:
@@ -120,10 +153,7 @@ def compact_windows(s: np.ndarray, ends: np.ndarray, docs: np.ndarray, h: np.nda
         key = (g & ~_U(0xFFFFFFF)) | np.arange(len(g), dtype=_U)
         c = (sliding_min(key, passage) & _U(0xFFFFFFF)).astype(np.int64)[w]
         i = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (who[1:] != who[:-1]))))
-        own, node = who[i], c[i]
-        l, r = spans_of_tree(key[node], node, begins[own], ends[own])
-        start = np.maximum(l, node - passage + 1)
-        n = np.minimum(node, r - passage + 1) - start + 1
+        own, node, start, n = who[i], c[i], w[i], np.diff(np.append(i, len(w)))
         rec = np.zeros(len(i), WINDOW)
         rec["key"] = (g[node] & ~_U(7)) | _U(f)
         stop = start + n + passage - 1
@@ -134,9 +164,26 @@ def compact_windows(s: np.ndarray, ends: np.ndarray, docs: np.ndarray, h: np.nda
     return np.concatenate(out)
 
 
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, first place of each, which of them each value is); ``np.unique`` takes several times as long."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.concatenate(([True], y[1:] != y[:-1]))[: len(x)]
+    head = np.flatnonzero(new)
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return y[head], np.minimum.reduceat(order, head) if len(x) else order, which
+
+
 def split_classes(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window of each class of equal key and content, the further ones, and the document each of those repeats)."""
-    rec = rec[np.lexsort((rec["c"], rec["h"], rec["doc"], rec["content"], rec["key"]))]
+    order = np.argsort(rec["key"])
+    key = rec["key"][order]
+    tie = np.concatenate(([False], key[1:] == key[:-1]))[: len(rec)]
+    tie[:-1] |= tie[1:]
+    some = rec[order[tie]]
+    order[tie] = order[tie][np.lexsort((some["c"], some["h"], some["doc"], some["content"], some["key"]))]
+    rec = rec[order]
     rec = rec[~repeats_row_before(rec)]
     same = np.zeros(len(rec), bool)
     same[1:] = (rec["key"][1:] == rec["key"][:-1]) & (rec["content"][1:] == rec["content"][:-1])
@@ -185,6 +232,8 @@ def _flag_batch(rec: np.ndarray) -> pa.RecordBatch:
 
 def joined_intervals(start: np.ndarray, n: np.ndarray, function: np.ndarray, hashes: int, enough: int) -> np.ndarray:
     """Which windows cover a run that windows of ``enough`` hash functions cover; all of one document."""
+    if enough <= 1:
+        return np.ones(len(start), bool)
     size = int((start + n).max()) + 1
     count = np.zeros(size, np.int64)
     for f in range(hashes):
@@ -336,7 +385,8 @@ def _shared_parts(parts: _Parts) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         first = np.repeat(np.minimum.reduceat(place[i], head), np.diff(np.append(head, len(i))))
         later = first // 8 != place[i] // 8
         every = int(place.max()) + 1  # below 2 ** 31 as long as a key has fewer than three million windows
-        mine, theirs = np.divmod(np.unique(place[i][later] * every + first[later]), every)
+        both = np.sort(place[i][later] * every + first[later])
+        mine, theirs = np.divmod(both[np.diff(both, prepend=-1) > 0], every)
         yield mine // 8, mine % 8, theirs // 8, theirs % 8
 
 
@@ -370,7 +420,7 @@ def verify_groups(rec: np.ndarray, grid: np.ndarray, passage: int, similarity: f
     np.cumsum(grid, axis=1, out=sums[:, 1:])
     row, col = np.nonzero(owns)
     whole = (sums[:, passage:] - sums[:, :passage] + salt[:, None])[row, col]
-    _, lead, which = np.unique(whole, return_index=True, return_inverse=True)
+    _, lead, which = grouped(whole)
     of, of_col = row[lead][which], col[lead][which]
     again = (of != row) & apart(row, col, of, of_col)
     leads = np.zeros(owns.shape, bool)
@@ -402,7 +452,7 @@ def verify_groups(rec: np.ndarray, grid: np.ndarray, passage: int, similarity: f
         ok = (row != of) & (lo < hi) & apart(row, lo, of, of_lo)
         row, lo, hi, of, of_lo = (x[ok] for x in (row, lo, hi, of, of_lo))
         # Verification: one pair of runs of each pair of windows is counted
-        pair, one, which = np.unique(row * len(rec) + of, return_index=True, return_inverse=True)
+        pair, one, which = grouped(row * len(rec) + of)
         true = np.zeros(len(pair), bool)
         for x in range(0, len(pair), 4096):
             i = one[x : x + 4096]
@@ -419,7 +469,7 @@ def _runs_of(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, of: np.ndarray, pa
     if not len(row):
         return (np.zeros(0, np.int64),) * 4
     every = int(of.max()) + 1
-    pair, which = np.unique(row * every + of, return_inverse=True)
+    pair, _, which = grouped(row * every + of)
     parts = []
     for at in range(0, len(pair), 1 << 15):
         n = min(1 << 15, len(pair) - at)
@@ -487,7 +537,7 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
             rows = []
             for lo, hi in zip(cut, np.append(cut[1:], len(order))):
                 i = order[lo:hi]
-                rows.append((int(bucket[i[0]]), len(i), zip_.compress(rec[i].tobytes() + b"\n".join([said[k] for k in i]))))
+                rows.append((int(bucket[i[0]]), len(i), zip_.compress(rec[i].tobytes() + b"".join([said[k] for k in i]))))
             return _blobs(rows)
 
         for batch in batches:
@@ -497,7 +547,9 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
                 f = flags.flatten()
                 start, n, back, key = (f.field(k).to_numpy() for k in ("start", "n", "back", "key"))
                 docs_, h = part.column("doc").to_numpy(), part.column("h").to_numpy()
-                for i, text in enumerate(raw_texts(part, "text")):
+                flat, begins, counts = split_words(raw_texts(part, "text"))
+                flat, base = flat.tobytes(), np.cumsum(counts) - counts
+                for i in range(part.num_rows):
                     a, b = offsets[i] - offsets[0], offsets[i + 1] - offsets[0]
                     fn = (key[a:b].view(_U) & _U(7)).astype(np.int64)
                     stay = np.flatnonzero(joined_intervals(start[a:b], n[a:b].astype(np.int64), fn, hashes, enough)) + a
@@ -507,8 +559,8 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
                     rec["key"], rec["doc"], rec["h"] = key[stay].view(_U), docs_[i], h[i]
                     rec["c"], rec["back"], rec["n"] = start[stay] + back[stay], back[stay], n[stay]
                     recs.append(rec)
-                    ws = text.translate(_LOWER).split()
-                    new = [b" ".join(ws[x : x + k]) for x, k in zip(start[stay].tolist(), (n[stay] + passage + SHINGLE - 2).tolist())]
+                    x = base[i] + start[stay]
+                    new = [flat[lo:hi] for lo, hi in zip(begins[x].tolist(), begins[x + n[stay] + passage + SHINGLE - 2].tolist())]
                     said += new
                     size += sum(map(len, new))
                 if size >= 16 << 20:
@@ -519,14 +571,26 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, unzip = _WordHash(), zstandard.ZstdDecompressor()
+
+        def hashed(said: list[bytes]) -> np.ndarray:
+            flat = np.frombuffer(b"".join(said), np.uint8)
+            return word_hashes(flat, np.concatenate(([0], np.flatnonzero(flat == 32) + 1)), cache)
+
         for held in _by_bucket(batches):
-            recs, data = [], []
+            recs, data, said, size = [], [], [], 0
             for count, blobs in held.items():
                 for d in map(unzip.decompress, blobs):
                     recs.append(np.frombuffer(d, WINDOW, count))
-                    data.append(shingles(d[count * WINDOW.itemsize :].split(b"\n"), cache)[0])
-            rec, s = np.concatenate(recs), np.concatenate(data)
+                    said.append(d[count * WINDOW.itemsize :])
+                    size += len(said[-1])
+                    if size >= 4 << 20:
+                        data.append(hashed(said))
+                        said, size = [], 0
+            data.append(hashed(said))
+            rec = np.concatenate(recs)
             n = rec["n"].astype(np.int64) + passage - 1
+            s = shingles_of(np.concatenate(data), n + SHINGLE - 1)[0]
+            del data, said
             begin = np.cumsum(n) - n
             order = np.lexsort((rec["c"], rec["h"], rec["doc"], rec["key"]))
             fresh = ~repeats_row_before(rec[order])
@@ -560,6 +624,24 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, hashes: int = HASHES,
     return found.where("key is null").select("doc", "h", "start", "n", "of").unionByName(more)
 
 
+def merged_cuts(cuts: pa.ListArray, longer: int) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    """(maximal spans, units in them, number of them) of each list of (start, n), where a cut is [start, start + n + longer)."""
+    own = np.repeat(np.arange(len(cuts)), np.diff(cuts.offsets.to_numpy()))
+    start, n = (cuts.flatten().field(k).to_numpy().astype(np.int64) for k in ("start", "n"))
+    order = np.lexsort((start, own))
+    own, start, end = own[order], start[order], (start + n + longer)[order]
+    base = own * (int(end.max(initial=0)) + 2)  # lists do not touch
+    reach = np.maximum.accumulate(end + base)
+    new = np.concatenate(([True], (start + base)[1:] > reach[:-1]))[: len(own)]
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(own))[: len(head)] - 1
+    start, end, n_spans = start[head], (reach - base)[last], np.bincount(own[head], minlength=len(cuts))
+    offsets = np.concatenate(([0], np.cumsum(n_spans)))
+    words = np.concatenate(([0], np.cumsum(end - start)))
+    spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans), np.diff(words[offsets]), n_spans
+
+
 def near_duplicate_passages(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -584,17 +666,9 @@ def near_duplicate_passages(
     runs = repeated_runs(docs, passage, hashes, enough, similarity)
 
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            spans = [merge_spans([c["start"] for c in cuts], [c["n"] + passage + SHINGLE - 2 for c in cuts]) for cuts in batch.column("cuts").to_pylist()]
-            cols = [
-                batch.column("doc"),
-                batch.column("h"),
-                batch.column("repeats_ids"),
-                pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
-                pa.array([len(x) for x in spans], pa.int64()),
-                pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind),
-            ]
+            spans, words, n_spans = merged_cuts(batch.column("cuts"), passage + SHINGLE - 2)
+            cols = [*map(batch.column, ("doc", "h", "repeats_ids")), pa.array(words, pa.int64()), pa.array(n_spans, pa.int64()), spans]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "h", "repeats_ids", "n_repeated_words", "n_spans", "spans"])
 
     grouped = runs.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "n")).alias("cuts"), F.array_sort(F.collect_set("of")).alias("repeats_ids"))

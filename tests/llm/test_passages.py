@@ -4,10 +4,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from tapeloom.llm import passages
 from tapeloom.llm.passages import PASSAGE, SIMILARITY, WINDOW
+from tapeloom.llm.suffix_dedup import merge_spans
 
 P = PASSAGE
 
@@ -168,3 +171,61 @@ def test_pairs_just_over_the_threshold_become_candidates():
     key[rec["doc"], (rec["key"] & np.uint64(7)).astype(int)] = rec["key"]
     lost = ((key[::2] == key[1::2]).sum(axis=1) < passages.ENOUGH).sum()
     assert lost <= 0.005 * n
+
+
+class CountedHash(passages._WordHash):
+    """The cache of words' hashes with the words it was asked for."""
+
+    def __init__(self):
+        self.asked = []
+
+    def __getitem__(self, w):
+        self.asked.append(w)
+        return super().__getitem__(w)
+
+
+def test_words_are_hashed_in_arrays_not_one_by_one():
+    """Of 3,000 words only those of 32 bytes and more may be looked up one at a time; all have their XXH64."""
+    r = random.Random(12)
+    ws = [bytes(r.choice(b"abcXYZ09\xc3\xa9") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    gaps = [r.choice([b" ", b"\n", b"\t \r", b"\x0b\x0c"]) for _ in ws]
+    texts = [b"", b" \n ", None] + [b"".join(x for k in range(a, a + 100) for x in (gaps[k], ws[k])) + b" " * (a % 3) for a in range(0, 3000, 100)]
+    low = [w.translate(passages._LOWER) for w in ws]
+    cache = CountedHash()
+    s, ends, counts = passages.shingles(texts, cache)
+    assert sorted(cache.asked) == sorted(w for w in low if len(w) >= 32)
+    assert counts.tolist() == [0, 0, 0] + [100] * 30 and ends.tolist() == [0, 0, 0] + [96 * k for k in range(1, 31)]
+    x = [xxhash.xxh64_intdigest(w, 5) for w in low]
+    power = [0x9E3779B97F4A7C15**k for k in (4, 3, 2, 1, 0)]
+    want = [sum(p * h for p, h in zip(power, x[a + k : a + k + 5])) % 2**64 for a in range(0, 3000, 100) for k in range(96)]
+    assert s.tolist() == passages.mixed(np.array(want, np.uint64)).tolist()
+
+
+@pytest.mark.parametrize("passage", [8, P])
+def test_windows_are_the_runs_of_one_smallest_hash(passage):
+    """Each run stands in one window of each function, that of its smallest hash."""
+    r = np.random.default_rng(13)
+    sizes = [0, 3, passage - 1, passage, passage + 1, 300]
+    s, ends = r.integers(0, 1 << 63, sum(sizes)).astype(np.uint64), np.cumsum(sizes)
+    s[-200:-150] = s[-100:-50]
+    rec = passages.compact_windows(s, ends, np.arange(len(sizes)), np.zeros(len(sizes), np.uint32), passage, 3)
+    got = Counter((int(x["doc"]), int(x["key"]) & 7, int(x["c"]), w) for x in rec for w in range(int(x["c"]) - int(x["back"]), int(x["c"]) - int(x["back"]) + int(x["n"])))
+    want = Counter()
+    for f in range(3):
+        g = passages.mixed(s ^ np.uint64(0x51_7C_C1_B7_27_22_0A_95 * (f + 1) % (1 << 64)))
+        for d, (n, end) in enumerate(zip(sizes, ends.tolist())):
+            for w in range(n - passage + 1):
+                want[d, f, min(range(w, w + passage), key=lambda k: (int(g[end - n + k]) >> 28, k)), w] += 1
+    assert got == want
+
+
+@pytest.mark.parametrize("longer", [0, 49])
+def test_cuts_merge_like_spans_one_by_one(longer):
+    r = random.Random(longer)
+    lists = [[{"start": r.randrange(300), "n": r.randint(1, 40)} for _ in range(r.choice([0, 1, 2, 9]))] for _ in range(200)]
+    made = pa.array([[{"start": 1, "n": 1}], *lists], pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32())])))[1:]
+    spans, words, n_spans = passages.merged_cuts(made, longer)
+    want = [merge_spans([c["start"] for c in x], [c["n"] + longer for c in x]) for x in lists]
+    assert [[(x["start"], x["end"]) for x in one] for one in spans.to_pylist()] == want
+    assert words.tolist() == [sum(e - s for s, e in x) for x in want] and n_spans.tolist() == list(map(len, want))
+    assert all(len(x) == 0 for x in passages.merged_cuts(made[:0], longer))
